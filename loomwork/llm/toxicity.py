@@ -30,10 +30,10 @@ FEATURES = 6
 
 
 class Automaton:
-    """Words within ``edits`` of a lexicon term (or of one of its stems, then with any ending).
+    """Words within ``edits`` of a lexicon term (or that start with one of its stems).
 
     A state is a set of (trie node, edits spent); ``step`` results are remembered up to a bound.
-    Terms of fewer than ``least`` characters must match exactly.
+    Stems, and terms of fewer than ``least`` characters, must match exactly.
     """
 
     def __init__(self, terms: list[str], stems: list[str], edits: int = 1, least: int = 5, bound: int = 200_000):
@@ -44,7 +44,7 @@ class Automaton:
         self.room: list[int] = [0]  # edits that some term below allows
         for kind, words in ((1, terms), (2, stems)):
             for w in words:
-                at, room = 0, edits if len(w) >= least else 0
+                at, room = 0, edits if kind == 1 and len(w) >= least else 0
                 self.room[0] = max(self.room[0], room)
                 for c in w:
                     if c not in self.child[at]:
@@ -169,24 +169,36 @@ def _sample(labels: DataFrame, training: Column, sample: int, key: str, label: s
     return rows.where(F.pmod(F.xxhash64("k", F.lit("toxicity")), F.lit(1 << 20)) < share * (1 << 20)).groupBy("k").agg(F.max("y").alias("y")).limit(3 * sample)
 
 
-def learn_lexicon(rows: DataFrame, least: int = 3, ratio: float = 4.0, stem_length: int = 5) -> Lexicon:
-    """Terms and stems that are far commoner in toxic rows (t, y) than in others."""
-    words = rows.select("y", F.explode(F.array_distinct(F.transform(F.split(F.lower("t"), r"\s+"), lambda w: F.regexp_replace(w, r"^\W+|\W+$", "")))).alias("w")).where("length(w) between 3 and 40")
+def learn_lexicon(rows: DataFrame, least: int = 3, ratio: float = 10.0, stems: tuple[int, int] = (4, 6)) -> Lexicon:
+    """Terms and stems that are far commoner in toxic rows (t, y) than in others.
+
+    Occurrences count once for each word before them, so copies of a text count once.  The evidence is a likelihood ratio that chance would not reach among as many candidates.  A stem
+    never starts a word of the other rows and has at least four endings.
+    """
+    plain = F.transform(F.split(F.lower("t"), r"\s+"), lambda w: F.regexp_replace(w, r"^\W+|\W+$", ""))
+    before = F.concat(F.array(F.lit("")), F.slice("ws", F.lit(1), F.greatest(F.size("ws") - 1, F.lit(0))))
+    words = rows.select("y", plain.alias("ws")).select("y", F.explode(F.arrays_zip("ws", before.alias("before"))).alias("p")).select("y", F.col("p.ws").alias("w"), F.col("p.before").alias("before")).where("length(w) between 3 and 40").distinct()
     totals = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     if not (totals.get(0) and totals.get(1)):
         return Lexicon([], [])
-    a, b = totals[1], totals[0]
-    telling = (F.col("t") >= least) & ((F.col("t") + 0.01) / a >= ratio**2 * (F.col("f") + 0.2) / b)
-
-    def pick(d: DataFrame) -> list:
-        counted = d.groupBy("w").agg(F.count_if(F.col("y") == 1).alias("t"), F.count_if(F.col("y") == 0).alias("f"), F.count_distinct("s").alias("kinds"))
-        return counted.where(telling).orderBy(F.desc("t"), "w").limit(5000).collect()
-
-    found = pick(words.withColumn("s", F.lit(0)))
-    stems = pick(words.where(f"length(w) > {stem_length}").select("y", F.substring("w", 1, stem_length).alias("w"), F.col("w").alias("s")))
-    strong = {r.w for r in stems if r.kinds >= 4 and r.t >= 4 * least and r.f == 0}
-    terms = [r.w for r in found if r.w[:stem_length] not in strong and r.t >= max(least, 0.004 * a)]
-    return Lexicon(sorted(terms), sorted(strong))
+    share = totals[1] / (totals[0] + totals[1])
+    starts = F.explode(F.concat(F.array(F.struct(F.lit(0).alias("n"), F.col("w").alias("s"))), F.transform(F.sequence(F.lit(stems[0]), F.lit(stems[1])), lambda n: F.struct(n.alias("n"), F.substring("w", F.lit(1), n).alias("s")))))
+    counted = words.select("y", "w", starts.alias("p")).where("p.n = 0 or length(w) > p.n").groupBy("p.n", "p.s").agg(F.count_if(F.col("y") == 1).alias("t"), F.count_if(F.col("y") == 0).alias("f"), F.approx_count_distinct("w").alias("kinds")).where(f"t + f > {least}").persist()
+    try:
+        tried = {r.n: r["count"] for r in counted.groupBy("n").count().collect()}
+        both = F.col("t") + F.col("f")
+        g = F.col("t") * F.log(F.col("t") / (share * both)) + F.when(F.col("f") > 0, F.col("f") * F.log(F.col("f") / ((1 - share) * both))).otherwise(0.0)
+        need = F.create_map(*[F.lit(x) for n, c in tried.items() for x in (n, float(np.log(c) + 2))]) if tried else F.create_map(F.lit(0), F.lit(1.0))
+        found = counted.where((F.col("t") >= least) & (g >= need[F.col("n")]) & (F.col("t") * (1 - share) >= ratio * share * F.col("f"))).orderBy(F.desc("t"), "n", "s").limit(5000).collect()
+    finally:
+        counted.unpersist()
+    at = [{r.s: r.t for r in found if r.n == n and (n == 0 or (r.f == 0 and r.kinds >= 4))} for n in (0, *range(stems[0], stems[1] + 1))]
+    strong: set[str] = set()
+    for n, own in enumerate(at[1:], 1):  # the longest start that keeps nearly all rows
+        longer = at[n + 1] if n + 1 < len(at) else {}
+        strong |= {x for x, t in own.items() if not any(y.startswith(x) and t2 >= 0.9 * t for y, t2 in longer.items())}
+    strong = {x for x in strong if not any(x != y and x.startswith(y) for y in strong)}
+    return Lexicon(sorted(w for w in at[0] if not any(w.startswith(x) for x in strong)), sorted(strong))
 
 
 def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 0.05) -> np.ndarray:
