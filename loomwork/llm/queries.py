@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, eliasfano, jaccard, langid, packing, toxicity
+from loomwork.llm import bpe, eliasfano, jaccard, langid, linededup, packing, toxicity, weightedhash
 from loomwork.llm.common import fold, read, shared_folder
 
 
@@ -15,6 +15,10 @@ def _file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weightedhash.edited_likeness(read(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = langid.fit(docs, _file("piece_bpe_32k.model"), fold() != 0)
@@ -28,6 +32,11 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), _file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
 def op7_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), _file("byte_bpe_50k.json"))
 
@@ -48,5 +57,5 @@ def op10_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eliasfano.read_files(spark, folder, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_bpe_round_trip, op7_bm25_packing, op8_ngram_jaccard, op9_toxicity, op10_elias_fano)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_weighted_sampling, op2_language_id, op4_bpe_round_trip, op6_line_dedup, op7_bm25_packing, op8_ngram_jaccard, op9_toxicity, op10_elias_fano)}
+ORACLES: dict[str, str] = {"op6_line_dedup": linededup.ORACLE}
