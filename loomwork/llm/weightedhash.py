@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES = 48
+SAMPLES = 32
 
 
 def terms(text: Column) -> Column:
