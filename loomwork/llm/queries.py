@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, eliasfano, jaccard, langid, linededup, packing, toxicity, weightedhash
+from loomwork.llm import bpe, eliasfano, jaccard, langid, linededup, maxent, packing, toxicity, weightedhash
 from loomwork.llm.common import fold, read, shared_folder
 
 
@@ -32,6 +32,12 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), _file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_maxent_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = maxent.score(docs, fold() != 1)
+    return found.select("doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.dedup_lines(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
@@ -57,5 +63,5 @@ def op10_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eliasfano.read_files(spark, folder, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_weighted_sampling, op2_language_id, op4_bpe_round_trip, op6_line_dedup, op7_bm25_packing, op8_ngram_jaccard, op9_toxicity, op10_elias_fano)}
+QUERIES = {f.__name__: f for f in (op1_weighted_sampling, op2_language_id, op4_bpe_round_trip, op5_maxent_score, op6_line_dedup, op7_bm25_packing, op8_ngram_jaccard, op9_toxicity, op10_elias_fano)}
 ORACLES: dict[str, str] = {"op6_line_dedup": linededup.ORACLE}
