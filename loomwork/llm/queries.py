@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, eliasfano, jaccard, langid, linededup, maxent, packing, toxicity, weightedhash
-from loomwork.llm.common import fold, read, shared_folder
+from loomwork.llm import bpe, eliasfano, imagematch, jaccard, langid, linededup, maxent, packing, toxicity, weightedhash
+from loomwork.llm.common import fold, read, shared_folder, written
 
 
 def _file(name: str) -> str:
@@ -26,6 +26,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images: each vector is drawn as one, so the work grows with ``embeddings``."""
+    images = written(imagematch.rendered(read(spark, sf_dir, "embeddings")).withColumnRenamed("vec_id", "id"), "images")
+    found = imagematch.find_copies(images, imagematch.edited_queries(images))
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,5 +70,5 @@ def op10_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eliasfano.read_files(spark, folder, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_weighted_sampling, op2_language_id, op4_bpe_round_trip, op5_maxent_score, op6_line_dedup, op7_bm25_packing, op8_ngram_jaccard, op9_toxicity, op10_elias_fano)}
+QUERIES = {f.__name__: f for f in (op1_weighted_sampling, op2_language_id, op3_image_copies, op4_bpe_round_trip, op5_maxent_score, op6_line_dedup, op7_bm25_packing, op8_ngram_jaccard, op9_toxicity, op10_elias_fano)}
 ORACLES: dict[str, str] = {"op6_line_dedup": linededup.ORACLE}
