@@ -25,9 +25,16 @@ from pyspark.sql import functions as F
 from loomwork.llm.tokens import slices
 
 RUN, FLOOR = 24, 1e-9
+#: Slots of the piece table, and the most slots that a lookup probes.
+SLOTS, PROBES = 1 << 18, 5
+_SHIFT = np.uint64(64 - SLOTS.bit_length() + 1)
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def _finish(h: np.ndarray) -> np.ndarray:
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
 class Lattice:
     """All pieces of a vocabulary that match inside words."""
 
@@ -39,6 +46,33 @@ class Lattice:
         self.id = {p: i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) for p in [model.id_to_piece(i)]}
         self.size, self.other = n + 1, n  # the last stands for a character outside the vocabulary
         self.longest = max(map(len, self.id))
+        # pieces by a 64-bit hash in an open table, so that whole columns of substrings are looked up at once
+        self.keys, self.values = np.zeros(SLOTS + PROBES, np.uint64), np.full(SLOTS + PROBES, -1, np.int32)
+        pieces = list(self.id)
+        for n, at in _by_length(pieces):
+            own = [pieces[i] for i in at]
+            h = self._hash(np.array(own, dtype=f"<U{n}").view(np.uint32).reshape(len(own), n).astype(np.uint64))
+            for p, k, slot in zip(own, h, (h >> _SHIFT).tolist()):
+                first = slot
+                while self.values[slot] >= 0:
+                    slot += 1
+                if slot - first >= PROBES:
+                    raise ValueError("the piece table is too dense")
+                self.keys[slot], self.values[slot] = k, self.id[p]
+
+    @staticmethod
+    def _hash(codes: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(codes), np.uint64)
+        for k in range(codes.shape[1]):
+            h = (h + codes[:, k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        return _finish(h)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        at = (h >> _SHIFT).astype(np.int64)
+        out = np.full(h.shape, -1, np.int32)
+        for k in range(PROBES):
+            out = np.where(self.keys[at + k] == h, self.values[at + k], out)
+        return out
 
     def runs(self, word: str) -> list[str]:
         word = "▁" + word
@@ -46,16 +80,14 @@ class Lattice:
 
     def edges(self, words: list[str], n: int) -> np.ndarray:
         """ids[word, start, length - 1] of words of ``n`` characters; -1 where no piece matches."""
-        get, other, most = self.id.get, self.other, min(n, self.longest)
+        most = min(n, self.longest)
+        codes = np.array(words, dtype=f"<U{n}").view(np.uint32).reshape(len(words), n).astype(np.uint64)
         out = np.full((len(words), n, most), -1, np.int32)
-        for k, w in enumerate(words):
-            row = out[k]
-            for i in range(n):
-                row[i, 0] = get(w[i], other)
-                for j in range(i + 2, min(n, i + most) + 1):
-                    p = get(w[i:j])
-                    if p is not None:
-                        row[i, j - i - 1] = p
+        h = np.zeros_like(codes)
+        for k in range(most):
+            h = (h[:, : n - k] + codes[:, k:] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            out[:, : n - k, k] = self._find(_finish(h))
+        out[:, :, 0] = np.where(out[:, :, 0] < 0, self.other, out[:, :, 0])
         return out
 
     def forward(self, ids: np.ndarray, prob: np.ndarray) -> list[np.ndarray]:
@@ -124,12 +156,18 @@ class Scorer:
         if len(self.at) > self.limit:
             self.clear()
         get = self.at.get
-        at = [list(map(get, t)) for t in texts]
-        new = list({w for t, a in zip(texts, at) if None in a for w, i in zip(t, a) if i is None})
-        if new:
-            self.learn(new)
-            at = [list(map(self.at.__getitem__, t)) if None in a else a for t, a in zip(texts, at)]
-        return np.array([self.value[a].sum(axis=0, dtype=np.float64) if a else np.zeros(self.prob.shape[1]) for a in at]).reshape(len(texts), -1)
+        flat: list = []
+        for t in texts:
+            flat += map(get, t)
+        if None in flat:
+            words = [w for t in texts for w in t]
+            self.learn(list({w for w, i in zip(words, flat) if i is None}))
+            flat = list(map(self.at.__getitem__, words))
+        out, size = np.zeros((len(texts), self.prob.shape[1])), np.array([len(t) for t in texts])
+        full = np.flatnonzero(size)
+        if len(full):
+            out[full] = np.add.reduceat(self.value[np.array(flat, np.int64)], (np.cumsum(size) - size)[full], axis=0, dtype=np.float64)
+        return out
 
 
 def fit(df: DataFrame, path: str, training: Column, per_language: int = 1500, rounds: int = 3, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -155,15 +193,24 @@ def fit(df: DataFrame, path: str, training: Column, per_language: int = 1500, ro
             def run(batches, prob=prob):
                 own, full = lattice(path), np.vstack([prob, np.zeros((1, prob.shape[1]))])
                 total = np.zeros_like(prob)
+                flat: list[str] = []
+                count: list = []
+
+                def add():
+                    counts_ = np.array(count, np.float64)
+                    for n, at in _by_length(flat):
+                        total[:] += own.expected(own.edges([flat[i] for i in at], n), full, counts_[at])
+                    flat.clear()
+                    count.clear()
+
                 for b in batches:
-                    flat, count = [], []
                     for w, c in zip(b.column(0).to_pylist(), np.stack([x.to_numpy(zero_copy_only=False) for x in b.columns[1:]], axis=1)):
                         for r in own.runs(w):
                             flat.append(r)
                             count.append(c)
-                    count = np.array(count, np.float64)
-                    for n, at in _by_length(flat):
-                        total += own.expected(own.edges([flat[i] for i in at], n), full, count[at])
+                    if len(flat) > 100_000:
+                        add()
+                add()
                 piece, g = np.nonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(g.astype(np.int32)), pa.array(total[piece, g])], ["piece", "g", "x"])
 
