@@ -25,17 +25,23 @@ def _words(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
+def _hold(df: DataFrame, **made: Column) -> DataFrame:
+    """Add columns through a generator of one row, so that later lambdas read them instead of computing them again for each element."""
+    return df.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))).alias("_held")).select(*df.columns, *[F.col(f"_held.{n}").alias(n) for n in made])
+
+
 def _fingerprints(docs: DataFrame, window: int, long_words: int) -> DataFrame:
     """(fp, o, th, at, span, before, after): selected places with the line hashes around them."""
-    lines = docs.where("text is not null").dropDuplicates(["o", "th"]).select("o", "th", F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "").alias("lines"))
-    lines = lines.select("o", "th", "lines", F.size("lines").alias("m"), F.transform("lines", lambda x: F.xxhash64(x)).alias("h"))
-    pair = F.transform(F.sequence(F.lit(1), F.col("m") - 1), lambda i: F.struct(F.substring(F.md5(F.concat(F.element_at("lines", i), F.lit("\n"), F.element_at("lines", i + 1))), 1, 16).alias("g"), (-i).alias("i")))
-    minima = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("m") - window)), lambda s: F.array_min(F.slice(pair, s, F.lit(window))))
-    chosen = F.when(F.col("m") > 1, F.transform(F.array_distinct(minima), lambda x: F.struct(x["g"].alias("fp"), (-x["i"]).alias("at"), F.lit(2).alias("span"))))
+    lines = _hold(docs.where("text is not null"), lines=F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")).drop("text")
+    m = F.size("lines")
+    pair = F.zip_with(F.slice("lines", F.lit(1), F.greatest(m - 1, F.lit(0))), F.slice("lines", F.lit(2), F.greatest(m - 1, F.lit(0))), lambda a, b: F.substring(F.md5(F.concat(a, F.lit("\n"), b)), 1, 16))
+    lines = _hold(lines, m=m, h=F.transform("lines", lambda x: F.xxhash64(x)), pair=F.transform(pair, lambda g, i: F.struct(g.alias("g"), (-i).alias("i"))))
+    minima = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("m") - window)), lambda s: F.array_min(F.slice("pair", s, F.lit(window))))
+    chosen = F.when(F.col("m") > 1, F.transform(F.array_distinct(minima), lambda x: F.struct(x["g"].alias("fp"), (1 - x["i"]).alias("at"), F.lit(2).alias("span"))))
     single = F.filter(F.transform("lines", lambda x, i: F.struct(F.when(_words(x) >= long_words, F.concat(F.lit("line "), F.md5(x))).alias("fp"), (i + 1).alias("at"), F.lit(1).alias("span"))), lambda x: x["fp"].isNotNull())
     found = lines.select("o", "th", "h", F.explode(F.concat(F.coalesce(chosen, F.array().cast("array<struct<fp:string,at:int,span:int>>")), single)).alias("p"))
-    before = F.transform(F.sequence(F.lit(1), F.lit(REACH)), lambda j: F.when(F.col("p.at") > j, F.element_at("h", F.greatest(F.col("p.at") - j, F.lit(1)))))
-    after = F.transform(F.sequence(F.lit(0), F.lit(REACH - 1)), lambda j: F.get(F.col("h"), F.col("p.at") + F.col("p.span") - 1 + j))
+    before = F.array(*[F.when(F.col("p.at") > j, F.get(F.col("h"), F.col("p.at") - j - 1)) for j in range(1, REACH + 1)])
+    after = F.array(*[F.get(F.col("h"), F.col("p.at") + F.col("p.span") - 1 + j) for j in range(REACH)])
     return found.select("p.fp", "o", "th", "p.at", "p.span", before.alias("before"), after.alias("after"))
 
 
@@ -48,7 +54,7 @@ def _agree(a: Column, b: Column) -> Column:
 def dedup_lines(df: DataFrame, window: int = 2, long_words: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` with later repeated runs deleted from ``text``, and n_lines, n_removed, removed (line numbers among the non-blank ones)."""
     least = -(1 << 63)
-    clash = [c for c in ("o", "th", "gone", "kept") if c in df.columns]
+    clash = [c for c in ("o", "th", "gone", "kept", "m", "lines", "order", "dead", "live") if c in df.columns]
     if clash:
         raise ValueError(f"columns in use here: {clash}")
     named = df.withColumn("o", F.coalesce(df[key].cast("long"), F.lit(least))).withColumn("th", F.xxhash64(df[text]))
@@ -58,14 +64,15 @@ def dedup_lines(df: DataFrame, window: int = 2, long_words: int = 20, key: str =
     spans = later.select("o", "th", F.sequence(F.col("at") - _agree(F.col("before"), F.col("first.before")), F.col("at") + F.col("span") - 1 + _agree(F.col("after"), F.col("first.after"))).alias("r"))
     gone = spans.groupBy("o", "th").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("r")))).alias("gone"))
     out = named.join(gone, ["o", "th"], "left")
-    blank = lambda x: F.trim(x) == ""
-    lines = F.split(text, "\n")
-    number = F.transform(lines, lambda x, i: F.struct(x.alias("x"), blank(x).alias("b"), i.alias("i")))
-    order = F.transform(F.filter(number, lambda s: ~s["b"]), lambda s: s["i"])  # place of each non-blank line
-    dead = F.transform("gone", lambda g: F.element_at(order, g))
-    kept = F.when(F.col("gone").isNull(), F.col(text)).when(F.size("gone") == F.size(order), "").otherwise(F.array_join(F.transform(F.filter(number, lambda s: ~F.array_contains(dead, s["i"])), lambda s: s["x"]), "\n"))
-    count = F.size(F.filter(F.coalesce(lines, F.array().cast("array<string>")), lambda x: ~blank(x))).cast("long")
-    return out.select(*[F.col(c) for c in df.columns if c != text], count.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("gone", F.array().cast("array<int>")).alias("removed"), kept.alias("kept")).withColumnRenamed("kept", text)
+    full = F.size(F.filter(F.coalesce(F.split(text, "\n"), F.array().cast("array<string>")), lambda x: F.trim(x) != ""))
+    some = F.col("gone").isNotNull() & (F.size("gone") < F.col("m"))
+    out = _hold(out, m=full)
+    out = _hold(out, lines=F.when(some, F.split(text, "\n")))
+    out = _hold(out, order=F.filter(F.transform("lines", lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull()))
+    out = _hold(out, dead=F.transform("gone", lambda g: F.get("order", g - 1)))
+    out = _hold(out, live=F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "dead"))
+    kept = F.when(F.col("gone").isNull(), F.col(text)).when(some, F.array_join(F.transform("live", lambda i: F.get("lines", i)), "\n")).otherwise("")
+    return out.select(*[F.col(c) for c in df.columns if c != text], F.col("m").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("gone", F.array().cast("array<int>")).alias("removed"), kept.alias("kept")).withColumnRenamed("kept", text)
 
 
 #: The same over the table ``documents``, whose keys are unique.
