@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from loomwork.queries import basic  # noqa: F401
+from loomwork.queries.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -45,8 +45,12 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
-    """Path, label (the character before the extension) and the parts of names like ``8863_idx5_x451_y1451_class0``; file contents aren't read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path")
+    """Manifest of image files below a path; their contents aren't read."""
+    return manifest_of(spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path"))
+
+
+def manifest_of(files: DataFrame) -> DataFrame:
+    """``path``, label (the character before the extension) and the parts of names like ``8863_idx5_x451_y1451_class0``."""
     name = F.regexp_extract("path", r"([^/]+)\.\w+$", 1)
     part = lambda pattern: F.regexp_extract(name, pattern, 1)
     return files.select("path", F.substring(name, -1, 1).alias("label"), part(r"^(\d+)_").alias("patient_id"), part(r"_x(\d+)").try_cast("int").alias("x"), part(r"_y(\d+)").try_cast("int").alias("y"))
