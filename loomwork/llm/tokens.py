@@ -31,11 +31,47 @@ class ChunkEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.model = self.library.model
+        # the byte-level alphabet: printable Latin-1 stands for itself, other bytes for characters from 256 on
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        other = iter(range(256, 512))
+        self.alphabet = [chr(b if b in plain else next(other)) for b in range(256)]
         self.code, self.limit, self.known = {"<u2": "H", "<u4": "I"}[dtype], cache, {}
+        *marks, self.newline = self._encode([",", ".", "\n"])
+        self.marks = dict(zip(",.", marks))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word(self, w: str, space: bool = True) -> bytes:
+        """Ids of a word of letters, with a space before it or not: one pre-token, straight from the library's model."""
+        chars = w if w.isascii() else "".join(map(self.alphabet.__getitem__, w.encode()))
+        return array(self.code, [t.id for t in self.model.tokenize(self.alphabet[32] + chars if space else chars)]).tobytes()
+
+    def _plain(self, k: str) -> bytes | None:
+        """Ids of a space and a word, perhaps with a mark after it; a mark is a pre-token of its own. Null for other keys."""
+        w = k[:-1] if k[-1:] in self.marks else k
+        if not w.isalpha() or max(w) >= "\u0250":
+            return None
+        ids = self.known.get(w)
+        if ids is None:
+            ids = self.known[w] = self._word(w)
+        return ids if w is k else ids + self.marks[k[-1]]
+
+    def _learn(self, keys: set[str]) -> None:
+        """Encode new keys: plain words, and two with one newline between, by their parts; others by the library as they are."""
+        known, rest = self.known, []
+        for k in keys:
+            a, newline, b = k.partition("\n")
+            ids = self._plain(a)
+            if newline and ids is not None:
+                ids = ids + self.newline + self._word(b, False) if b.isalpha() and max(b) < "\u0250" else None
+            if ids is None:
+                rest.append(k)
+            else:
+                known[k] = ids
+        known.update(zip(rest, self._encode([k[2:] if k.startswith(_ALONE) else " " + k for k in rest])))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
         known, out, open_ = self.known, [], []
@@ -61,8 +97,7 @@ class ChunkEncoder:
                 ids = ()
             out.append(b"".join(ids))
         if new:
-            order = list(new)
-            known.update(zip(order, self._encode([k[2:] if k.startswith(_ALONE) else " " + k for k in order])))
+            self._learn(new)
             for i, keys in open_:
                 out[i] = b"".join(map(known.__getitem__, keys))
         return out
