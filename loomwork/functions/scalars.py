@@ -78,7 +78,8 @@ def remove_stopwords(arr: Column, words: list[str]) -> Column:
 
 
 def round_half_up(c: Column, n: int = 2) -> Column:
-    return F.round(c, n)
+    """Half away from zero; first to three more places, so that the noise of a sum doesn't decide a tie."""
+    return F.round(F.round(c, n + 3), n)
 
 
 def round_half_even(c: Column, n: int = 6) -> Column:

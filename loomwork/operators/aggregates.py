@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.functions.scalars import duration_min, hour_of_day, trunc_to
+from loomwork.functions.scalars import duration_min, hour_of_day, round_half_up, trunc_to
 
 #: Names of the summary's buckets by granularity.
 UNITS = {"HOUR": "pickup_hour", "DAY": "pickup_day", "WEEK": "pickup_week"}
 
 
 def _measures(extra: bool = False, times: tuple[str, str] = ("pickup", "dropoff")) -> list[Column]:
-    base = [F.count("*").alias("trip_count"), F.round(F.avg("fare"), 2).alias("avg_fare"), F.round(F.avg("tip"), 2).alias("avg_tip"), F.sum("passengers").alias("total_passengers"), F.round(F.avg("distance"), 2).alias("avg_distance")]
-    return base + [F.round(F.avg("total"), 2).alias("avg_total_amount"), F.round(F.avg(duration_min(F.col(times[0]), F.col(times[1]))), 2).alias("avg_duration_min")] if extra else base
+    base = [F.count("*").alias("trip_count"), round_half_up(F.avg("fare")).alias("avg_fare"), round_half_up(F.avg("tip")).alias("avg_tip"), F.sum("passengers").alias("total_passengers"), round_half_up(F.avg("distance")).alias("avg_distance")]
+    return base + [round_half_up(F.avg("total")).alias("avg_total_amount"), round_half_up(F.avg(duration_min(F.col(times[0]), F.col(times[1])))).alias("avg_duration_min")] if extra else base
 
 
 def trip_summary(df: DataFrame, unit: str, time: str = "pickup", extra: bool = False) -> DataFrame:

@@ -20,7 +20,7 @@ def append_columns(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
 
 def pivot_dense(df: DataFrame, row: str, col: str, value: str, values: list) -> DataFrame:
     """Long → wide with 0 for missing; a (row, col) given twice is an error.  For output only."""
-    one = F.when(F.count("*") > 1, F.raise_error(F.lit("a pair occurs twice")).cast("double")).otherwise(F.first(value).cast("double"))
+    one = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("a pair occurs twice")).cast("double")).otherwise(F.first(value).cast("double"))
     return df.groupBy(row).pivot(col, values).agg(one).na.fill(0.0)
 
 

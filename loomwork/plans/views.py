@@ -119,5 +119,5 @@ def sql(views: str, body: str) -> str:
 
 
 def r(x: str, n: int = 2) -> str:
-    """SQL for rounding half away from zero on the decimal value, as Spark's ``round`` does for doubles."""
-    return f"CAST(round(CAST({x} AS DECIMAL(38, 12)), {n}) AS DOUBLE)"
+    """SQL for ``round_half_up``: cleaned of summation noise at three more places, then half away from zero on the decimal value."""
+    return f"CAST(round(CAST({x} AS DECIMAL(38, {n + 3})), {n}) AS DOUBLE)"

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.functions.scalars import round_half_up
 from loomwork.plans.views import Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,4 +25,4 @@ def add(name: str, make: Callable[[Views], DataFrame], oracle: str | None = None
 
 def rounded(df: DataFrame, n: int = 6) -> DataFrame:
     """Doubles to ``n`` places: sums differ in their last bits by order."""
-    return df.select(*[F.round(c, n).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+    return df.select(*[round_half_up(F.col(f"`{c}`"), n).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes])
