@@ -52,27 +52,28 @@ def _agree(a: Column, b: Column) -> Column:
 
 
 def dedup_lines(df: DataFrame, window: int = 2, long_words: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` with later repeated runs deleted from ``text``, and n_lines, n_removed, removed (line numbers among the non-blank ones)."""
-    least = -(1 << 63)
-    clash = [c for c in ("o", "th", "gone", "kept", "m", "lines", "order", "dead", "live") if c in df.columns]
-    if clash:
-        raise ValueError(f"columns in use here: {clash}")
-    named = df.withColumn("o", F.coalesce(df[key].cast("long"), F.lit(least))).withColumn("th", F.xxhash64(df[text]))
-    places = _fingerprints(named.select("o", "th", F.col(text).alias("text")), window, long_words)
+    """The rows of ``df`` with later repeated runs deleted from ``text``, and n_lines, n_removed, removed (line numbers among the non-blank ones), which replace columns of those names."""
+    names = [c for c in df.columns if c not in ("n_lines", "n_removed", "removed")]
+    inner = {c: f"c{i}" for i, c in enumerate(names)}  # own names, so that none of the caller's can clash
+    text_ = inner[text]
+    held = df.select(*[df[c].alias(inner[c]) for c in names])
+    named = held.withColumn("o", F.coalesce(F.col(inner[key]).cast("long"), F.lit(-(1 << 63)))).withColumn("th", F.xxhash64(text_))
+    places = _fingerprints(named.select("o", "th", F.col(text_).alias("text")), window, long_words)
     first = places.groupBy("fp").agg(F.count("*").alias("n"), F.min(F.struct("o", "th", "at", "before", "after")).alias("first")).where("n > 1").drop("n")
     later = places.join(first, "fp").where(F.struct("o", "th", "at") != F.struct("first.o", "first.th", "first.at"))
     spans = later.select("o", "th", F.sequence(F.col("at") - _agree(F.col("before"), F.col("first.before")), F.col("at") + F.col("span") - 1 + _agree(F.col("after"), F.col("first.after"))).alias("r"))
     gone = spans.groupBy("o", "th").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("r")))).alias("gone"))
     out = named.join(gone, ["o", "th"], "left")
-    full = F.size(F.filter(F.coalesce(F.split(text, "\n"), F.array().cast("array<string>")), lambda x: F.trim(x) != ""))
+    full = F.size(F.filter(F.coalesce(F.split(text_, "\n"), F.array().cast("array<string>")), lambda x: F.trim(x) != ""))
     some = F.col("gone").isNotNull() & (F.size("gone") < F.col("m"))
     out = _hold(out, m=full)
-    out = _hold(out, lines=F.when(some, F.split(text, "\n")))
+    out = _hold(out, lines=F.when(some, F.split(text_, "\n")))
     out = _hold(out, order=F.filter(F.transform("lines", lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull()))
     out = _hold(out, dead=F.transform("gone", lambda g: F.get("order", g - 1)))
     out = _hold(out, live=F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "dead"))
-    kept = F.when(F.col("gone").isNull(), F.col(text)).when(some, F.array_join(F.transform("live", lambda i: F.get("lines", i)), "\n")).otherwise("")
-    return out.select(*[F.col(c) for c in df.columns if c != text], F.col("m").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("gone", F.array().cast("array<int>")).alias("removed"), kept.alias("kept")).withColumnRenamed("kept", text)
+    kept = F.when(F.col("gone").isNull(), F.col(text_)).when(some, F.array_join(F.transform("live", lambda i: F.get("lines", i)), "\n")).otherwise("")
+    kept_columns = [kept.alias(c) if c == text else F.col(inner[c]).alias(c) for c in names]
+    return out.select(*kept_columns, F.col("m").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("gone", F.array().cast("array<int>")).alias("removed"))
 
 
 #: The same over the table ``documents``, whose keys are unique.
