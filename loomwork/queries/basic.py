@@ -130,37 +130,37 @@ _T, _O = "SELECT trip_id, ", "SELECT o_orderkey, "
 
 def _trip(name: str, **cols) -> None:
     expr = {k: c for k, (c, _) in cols.items()}
-    add(name, lambda v: v.trips.select("trip_id", *[c.alias(k) for k, c in expr.items()]), sql("trips", _T + ", ".join(f"{s} AS {k}" for k, (_, s) in cols.items()) + " FROM trips"))
+    add(name, lambda v: v.trips.select("trip_id", *[c().alias(k) for k, c in expr.items()]), sql("trips", _T + ", ".join(f"{s} AS {k}" for k, (_, s) in cols.items()) + " FROM trips"))
 
 
 def _order(name: str, **cols) -> None:
     expr = {k: c for k, (c, _) in cols.items()}
-    add(name, lambda v: v.table("orders").withColumn("d", F.to_date("o_orderdate")).select("o_orderkey", *[c.alias(k) for k, c in expr.items()]), _O + ", ".join(f"{s} AS {k}" for k, (_, s) in cols.items()) + " FROM (SELECT *, CAST(o_orderdate AS DATE) AS d FROM orders)")
+    add(name, lambda v: v.table("orders").withColumn("d", F.to_date("o_orderdate")).select("o_orderkey", *[c().alias(k) for k, c in expr.items()]), _O + ", ".join(f"{s} AS {k}" for k, (_, s) in cols.items()) + " FROM (SELECT *, CAST(o_orderdate AS DATE) AS d FROM orders)")
 
 
-_c = F.col
-_trip("fn_trunc_hour", hour=(S.trunc_to(_c("pickup"), "hour"), "date_trunc('hour', pickup)"))
-_trip("fn_trunc_day", day=(S.trunc_to(_c("pickup"), "day"), "CAST(pickup AS DATE)"))
-_order("fn_trunc_week_monday", week=(S.trunc_to(_c("d"), "week"), "CAST(date_trunc('week', d) AS DATE)"))
-_order("fn_trunc_week_sunday", week=(S.trunc_to(_c("d"), "week", "sunday"), "CAST(d - CAST(dayofweek(d) AS INTEGER) AS DATE)"))
-_order("fn_trunc_month", month=(S.trunc_to(_c("d"), "month"), "CAST(date_trunc('month', d) AS DATE)"))
-_order("fn_date_parts", **{k: (c, f"{k}(d)") for k, c in S.date_parts(F.col("d")).items()})
-_trip("fn_hour_of_day", hour=(S.hour_of_day(_c("pickup")), "hour(pickup)"))
+_c = F.col  # called within lambdas: columns need a session
+_trip("fn_trunc_hour", hour=(lambda: S.trunc_to(_c("pickup"), "hour"), "date_trunc('hour', pickup)"))
+_trip("fn_trunc_day", day=(lambda: S.trunc_to(_c("pickup"), "day"), "CAST(pickup AS DATE)"))
+_order("fn_trunc_week_monday", week=(lambda: S.trunc_to(_c("d"), "week"), "CAST(date_trunc('week', d) AS DATE)"))
+_order("fn_trunc_week_sunday", week=(lambda: S.trunc_to(_c("d"), "week", "sunday"), "CAST(d - CAST(dayofweek(d) AS INTEGER) AS DATE)"))
+_order("fn_trunc_month", month=(lambda: S.trunc_to(_c("d"), "month"), "CAST(date_trunc('month', d) AS DATE)"))
+_order("fn_date_parts", **{k: (lambda k=k: S.date_parts(F.col("d"))[k], f"{k}(d)") for k in ("day", "month", "year")})
+_trip("fn_hour_of_day", hour=(lambda: S.hour_of_day(_c("pickup")), "hour(pickup)"))
 add("fn_days_between", lambda v: v.complaints.select("order_id", "received", "sent", S.days_between(F.col("received"), F.col("sent")).alias("days")), sql("complaints", "SELECT order_id, received, sent, CAST(date_diff('day', received, sent) AS INTEGER) AS days FROM complaints"))
-_trip("fn_duration_min", minutes=(F.round(S.duration_min(_c("pickup"), _c("dropoff")), 6), r("(epoch_us(dropoff) - epoch_us(pickup)) / 6e7", 6)))
-_order("fn_week_of_month_bucket", bucket=(S.week_bucket(_c("d")), "CASE WHEN day(d) < 8 THEN 1 WHEN day(d) < 16 THEN 2 WHEN day(d) < 22 THEN 3 ELSE 4 END"))
-_order("fn_parse_date", iso=(S.parse_date(F.date_format("d", "yyyy-MM-dd")), "d"), us=(S.parse_date(F.date_format("d", "M/d/yyyy"), "M/d/yyyy"), "d"), bad=(S.parse_date(_c("o_orderstatus")), "CAST(NULL AS DATE)"))
+_trip("fn_duration_min", minutes=(lambda: F.round(S.duration_min(_c("pickup"), _c("dropoff")), 6), r("(epoch_us(dropoff) - epoch_us(pickup)) / 6e7", 6)))
+_order("fn_week_of_month_bucket", bucket=(lambda: S.week_bucket(_c("d")), "CASE WHEN day(d) < 8 THEN 1 WHEN day(d) < 16 THEN 2 WHEN day(d) < 22 THEN 3 ELSE 4 END"))
+_order("fn_parse_date", iso=(lambda: S.parse_date(F.date_format("d", "yyyy-MM-dd")), "d"), us=(lambda: S.parse_date(F.date_format("d", "M/d/yyyy"), "M/d/yyyy"), "d"), bad=(lambda: S.parse_date(_c("o_orderstatus")), "CAST(NULL AS DATE)"))
 add("fn_split", lambda v: v.movies.select("movieId", F.posexplode(S.split_list(F.col("genres"), "|")).alias("i", "g")), sql("movies", "SELECT movieId, CAST(generate_subscripts(string_split(genres, '|'), 1) - 1 AS INTEGER) AS i, unnest(string_split(genres, '|')) AS g FROM movies"))
 add("fn_join_tokens", lambda v: v.movies.select("movieId", S.join_tokens(F.col("genres_list")).alias("t")), sql("movies", "SELECT movieId, array_to_string(genres_list, ' ') AS t FROM movies"))
 add("fn_trim_suffix", lambda v: v.movies.select("movieId", S.trim_suffix(F.col("title")).alias("t"), S.trim_suffix(F.lit("short")).alias("s")), sql("movies", "SELECT movieId, left(title, length(title) - 7) AS t, '' AS s FROM movies"))
 add("fn_tokenize_alpha", lambda v: v.table("benchmark").select("item_id", F.size(S.tokenize_alpha(F.regexp_replace("text", r"[^\x00-\x7F]", "x"))).cast("long").alias("n")), r"SELECT item_id, CAST(len(list_filter(regexp_extract_all(lower(regexp_replace(text, '[^\x00-\x7F]', 'x', 'g')), '\w+|[^\w\s]+'), lambda w: regexp_full_match(w, '[a-z]+'))) AS BIGINT) AS n FROM benchmark")
 add("fn_remove_stopwords", lambda v: v.table("benchmark").select("item_id", S.join_tokens(S.remove_stopwords(F.split("text", " "), ["the", "of", "and", "de", "la"])).alias("t")), "SELECT item_id, array_to_string(list_filter(string_split(text, ' '), lambda w: w NOT IN ('the', 'of', 'and', 'de', 'la')), ' ') AS t FROM benchmark")
-_trip("fn_round2", up=(S.round_half_up(_c("k") / 8.0, 2), "CAST(round(CAST(k / 8.0 AS DECIMAL(38, 12)), 2) AS DOUBLE)"), even=(S.round_half_even(_c("k") / 4.0, 1), "CAST(round_even(CAST(k / 4.0 AS DOUBLE), 1) AS DOUBLE)"))
-_trip("fn_l1_distance", d=(S.l1_distance([_c("k"), _c("passengers"), _c("pickup_zone")], [F.lit(50), F.lit(3), F.lit(25)]), "abs(k - 50) + abs(passengers - 3) + abs(pickup_zone - 25)"))
-_trip("fn_light_flag", light=(S.is_light(_c("k") * 2, _c("k") * 3, _c("passengers") * 20), "k * 2 + k * 3 + passengers * 20 >= 600"))
-_trip("fn_gray", gray=(F.round(S.gray(_c("k"), _c("passengers"), _c("pickup_zone")), 6), r("0.2989::DOUBLE * k + 0.5870::DOUBLE * passengers + 0.1140::DOUBLE * pickup_zone", 6)))
-_trip("fn_scale_const", x=(F.round(S.scale_const(_c("k"), 255.0), 9), r("k / 255.0::DOUBLE", 9)))
+_trip("fn_round2", up=(lambda: S.round_half_up(_c("k") / 8.0, 2), "CAST(round(CAST(k / 8.0 AS DECIMAL(38, 12)), 2) AS DOUBLE)"), even=(lambda: S.round_half_even(_c("k") / 4.0, 1), "CAST(round_even(CAST(k / 4.0 AS DOUBLE), 1) AS DOUBLE)"))
+_trip("fn_l1_distance", d=(lambda: S.l1_distance([_c("k"), _c("passengers"), _c("pickup_zone")], [F.lit(50), F.lit(3), F.lit(25)]), "abs(k - 50) + abs(passengers - 3) + abs(pickup_zone - 25)"))
+_trip("fn_light_flag", light=(lambda: S.is_light(_c("k") * 2, _c("k") * 3, _c("passengers") * 20), "k * 2 + k * 3 + passengers * 20 >= 600"))
+_trip("fn_gray", gray=(lambda: F.round(S.gray(_c("k"), _c("passengers"), _c("pickup_zone")), 6), r("0.2989::DOUBLE * k + 0.5870::DOUBLE * passengers + 0.1140::DOUBLE * pickup_zone", 6)))
+_trip("fn_scale_const", x=(lambda: F.round(S.scale_const(_c("k"), 255.0), 9), r("k / 255.0::DOUBLE", 9)))
 add("fn_argmax", lambda v: v.points.select("vec_id", S.argmax(F.col("embedding")).alias("at")), "SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS at FROM embeddings")
-_trip("fn_slope_side", side=(S.slope_side(_c("passengers"), _c("k") - 50), "CASE WHEN passengers = 0 THEN NULL WHEN (k - 50) / passengers::DOUBLE > 0.4 THEN 'right' WHEN (k - 50) / passengers::DOUBLE < -0.4 THEN 'left' END"))
-_trip("fn_percent", p=(S.percent(_c("k"), _c("passengers")), r("100.0::DOUBLE * k / nullif(passengers, 0)", 3)))
+_trip("fn_slope_side", side=(lambda: S.slope_side(_c("passengers"), _c("k") - 50), "CASE WHEN passengers = 0 THEN NULL WHEN (k - 50) / passengers::DOUBLE > 0.4 THEN 'right' WHEN (k - 50) / passengers::DOUBLE < -0.4 THEN 'left' END"))
+_trip("fn_percent", p=(lambda: S.percent(_c("k"), _c("passengers")), r("100.0::DOUBLE * k / nullif(passengers, 0)", 3)))
 add("fn_age", lambda v: v.cars.select("Id", S.age(F.col("year"), 2060).alias("age")), sql("cars", "SELECT Id, 2060 - year AS age FROM cars"))
