@@ -182,7 +182,7 @@ add("eval_roc", lambda v: rounded(E.roc(_pred(v), "label", "k")), _with_p + f"""
 # --- recommenders
 add("rec_popularity", lambda v: R.popularity(v.movies, v.ratings, "ring", 20, 15), sql("movies ratings", "SELECT CAST(row_number() OVER (ORDER BY avg_rating DESC, reviews DESC, title) AS INTEGER) AS serial, * FROM (SELECT title, CAST(round_even(avg(rating), 6) AS DOUBLE) AS avg_rating, count(*) AS reviews FROM movies JOIN ratings USING (movieId) WHERE list_contains(genres_list, 'ring') GROUP BY 1 HAVING count(*) >= 20 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 15)"))
 _G = "g AS (SELECT movieId, g, count(*) AS n FROM (SELECT movieId, unnest(genres_list) AS g FROM movies) GROUP BY 1, 2), m AS (SELECT *, sqrt(sum(n * n) OVER (PARTITION BY movieId)) AS norm FROM g)"
-add("rec_content", lambda v: rounded(R.similar_items(v.movies, "red widget #1 (1990)", 12)), sql("movies", "") + f""", {_G}, x AS (SELECT b.movieId, {r('sum(a.n * b.n) / (any_value(a.norm) * any_value(b.norm))', 6)} AS cosine FROM m a JOIN m b USING (g) WHERE a.movieId = 1 AND b.movieId <> 1 GROUP BY 1)
+add("rec_content", lambda v: rounded(R.similar_items(v.movies, v.movies.where("movieId = 1").first().title, 12)), sql("movies", "") + f""", {_G}, x AS (SELECT b.movieId, {r('sum(a.n * b.n) / (any_value(a.norm) * any_value(b.norm))', 6)} AS cosine FROM m a JOIN m b USING (g) WHERE a.movieId = 1 AND b.movieId <> 1 GROUP BY 1)
  SELECT CAST(row_number() OVER (ORDER BY cosine DESC, movieId) AS INTEGER) AS serial, movieId, title, cosine FROM x JOIN movies USING (movieId) ORDER BY cosine DESC, movieId LIMIT 12""")
 add("rec_collaborative", lambda v: R.user_neighbours(v.ratings, v.movies, 7, 10, 20), sql("movies ratings", "") + f""", n AS (SELECT *, sqrt(sum(rating * rating) OVER (PARTITION BY userId)) AS norm FROM ratings),
  c AS (SELECT b.userId, round(sum(a.rating * b.rating) / (any_value(a.norm) * any_value(b.norm)), 9) AS cosine FROM n a JOIN n b USING (movieId) WHERE a.userId = 7 AND b.userId <> 7 GROUP BY 1),
