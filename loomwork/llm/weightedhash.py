@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLES = 32
+#: Ranges of keys are of about RANGE_BYTES of text; beyond RANGES of them (their bounds are part of the plan) they grow instead.
+RANGE_BYTES, RANGES = 32 << 20, 20_000
 
 
 def terms(text: Column) -> Column:
@@ -99,7 +101,7 @@ def edited_likeness(df: DataFrame, key: str = "doc_id", text: str = "text", m: i
     spark = df.sparkSession
     rows = df.select(df[key].alias("k"), F.coalesce(df[key].cast("long"), F.lit(-(1 << 63))).alias("o"), F.coalesce(df[text], F.lit("")).alias("t"))
     size = rows.agg(F.sum(F.octet_length("t")).alias("b")).first().b or 0
-    bounds = _buckets(rows.select("o"), max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // (32 << 20)))
+    bounds = _buckets(rows.select("o"), min(RANGES, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)))
     if not bounds:
         bounds = [0]
     last = len(bounds) - 1
