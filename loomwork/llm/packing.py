@@ -43,9 +43,9 @@ def tokenised(df: DataFrame, path: str, end_id: int, key: str = "doc_id", text:
                 raw = [x + end for x in encoder(path, code).encode(texts[i:j])]
                 near, n = [], []
                 for x in raw:
-                    ids = np.frombuffer(x, code).astype(np.uint64)
-                    h = (ids[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ ids[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93) if len(ids) > 1 else ids
-                    near.append(int(h.min() >> np.uint64(1)))
+                    ids = np.frombuffer(x, code).astype(np.uint32)
+                    h = (ids[:-1] * np.uint32(0x9E3779B1) ^ ids[1:]) * np.uint32(0x85EBCA6B) if len(ids) > 1 else ids
+                    near.append(int(h.min()))
                     n.append(len(ids))
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(near, pa.int64()), pa.array(n, pa.int32()), pa.array(raw, pa.binary()), pa.array([np.dtype(code).itemsize] * len(raw), pa.int32())], ["k", "near", "n", "ids", "width"])
 
@@ -86,7 +86,7 @@ class Shard:
         score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
         score *= unused
         found = np.flatnonzero(score)
-        return found[np.lexsort((found, -score[found]))]
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 def pack_shard(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:

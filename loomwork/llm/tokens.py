@@ -23,7 +23,7 @@ _SPACE = ("", " ", "\n")
 class ChunkEncoder:
     """text → little-endian bytes of its ids, in ``dtype``."""
 
-    def __init__(self, path: str, dtype: str = "<u4", cache: int = 1_200_000):
+    def __init__(self, path: str, dtype: str = "<u4", cache: int = 800_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -36,7 +36,8 @@ class ChunkEncoder:
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         other = iter(range(256, 512))
         self.alphabet = [chr(b if b in plain else next(other)) for b in range(256)]
-        self.code, self.limit, self.known = {"<u2": "H", "<u4": "I"}[dtype], cache, {}
+        # two generations of ``cache`` chunks each: what is used again moves to the younger
+        self.code, self.limit, self.known, self.old = {"<u2": "H", "<u4": "I"}[dtype], cache, {}, {}
         *marks, self.newline = self._encode([",", ".", "\n"])
         self.marks = dict(zip(",.", marks))
 
@@ -53,15 +54,18 @@ class ChunkEncoder:
         w = k[:-1] if k[-1:] in self.marks else k
         if not w.isalpha() or max(w) >= "\u0250":
             return None
-        ids = self.known.get(w)
+        ids = self.known.get(w) or self.old.get(w)
         if ids is None:
             ids = self.known[w] = self._word(w)
         return ids if w is k else ids + self.marks[k[-1]]
 
     def _learn(self, keys: set[str]) -> None:
         """Encode new keys: plain words, and two with one newline between, by their parts; others by the library as they are."""
-        known, rest = self.known, []
+        known, rest, old = self.known, [], self.old.get
         for k in keys:
+            if (ids := old(k)) is not None:
+                known[k] = ids
+                continue
             a, newline, b = k.partition("\n")
             ids = self._plain(a)
             if newline and ids is not None:
@@ -74,9 +78,9 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
+        if len(self.known) > self.limit:
+            self.old, self.known = self.known, {}
         known, out, open_ = self.known, [], []
-        if len(known) > self.limit:
-            known.clear()
         get, new = known.get, set()
         for t in texts:
             if not t:
