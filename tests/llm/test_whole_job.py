@@ -7,7 +7,9 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
-from loomwork.llm import imagematch  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from loomwork.llm import imagematch, maxent  # noqa: E402
 
 
 def test_all_codes_within_near_meet(spark):
@@ -37,3 +39,12 @@ def test_small_crop_of_a_large_picture(spark):
     images = spark.createDataFrame([(1, large)], "id long, media binary")
     got = imagematch.find_copies(images, spark.createDataFrame([(1, "crop", crop)], "id long, edit string, media binary")).first()
     assert got.best_id == 1 and got.votes >= 6
+
+
+def test_every_training_document_reaches_the_weights(spark):
+    n = 30
+    pair = lambda i, j: f"a{i} b{j} " * 30
+    rows = [(i, pair(i, i) * 10) for i in range(n)] + [(100 + i, pair(i, i)) for i in range(n)] + [(200 + i, pair(i, (i + 1) % n)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.score for r in maxent.score(docs, F.col("doc_id") < 100).collect()}
+    assert all(got[100 + i] > got[200 + i] + 1 for i in range(n))  # same words, but a seen pair
