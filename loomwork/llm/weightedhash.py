@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES = 32
+SAMPLES = 48
 #: Ranges of keys are of about RANGE_BYTES of text; beyond RANGES of them (their bounds are part of the plan) they grow instead.
 RANGE_BYTES, RANGES = 32 << 20, 20_000
 

@@ -9,7 +9,7 @@ pytest.importorskip("public_tokenizers")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from loomwork.llm import imagematch, maxent  # noqa: E402
+from loomwork.llm import imagematch, maxent, weightedhash  # noqa: E402
 
 
 def test_all_codes_within_near_meet(spark):
@@ -48,3 +48,10 @@ def test_every_training_document_reaches_the_weights(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     got = {r.doc_id: r.score for r in maxent.score(docs, F.col("doc_id") < 100).collect()}
     assert all(got[100 + i] > got[200 + i] + 1 for i in range(n))  # same words, but a seen pair
+
+
+def test_fingerprints_hold_48_samples(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c e")], "doc_id long, text string")
+    got = weightedhash.edited_likeness(docs).collect()
+    assert {len(r.fingerprint) for r in got} == {4 * 48}
+    assert all(abs(r.near_next * 48 - round(r.near_next * 48)) < 1e-9 for r in got if r.near_next is not None)
