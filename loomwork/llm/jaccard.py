@@ -106,13 +106,12 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 
 
 def _frequent(df: DataFrame, k: int, num: int, key: str, text: str) -> np.ndarray:
-    """Elements that many sets would post, most frequent first to a bound; from a quarter of the rows."""
+    """Elements that many sets would post, most frequent first to a bound."""
 
     def make(keys, sets):
         return pa.RecordBatch.from_arrays([_lists([s[: 2 * (len(s) - -(-num * len(s) // 100) + 1)] for s in sets])], ["p"])
 
-    some = df.where(F.pmod(F.xxhash64(key), F.lit(4)) == 0)
-    counts = written(_sets(some, k, make, "p array<long>", key, text).select(F.explode("p").alias("e")).groupBy("e").count().where(f"count > {HEAVY}"), "frequent")
+    counts = written(_sets(df, k, make, "p array<long>", key, text).select(F.explode("p").alias("e")).groupBy("e").count().where(f"count > {HEAVY}"), "frequent")
     sizes = counts.groupBy(F.floor(F.log2("count")).alias("b")).count().orderBy(F.desc("b")).collect()
     held, least = 0, 1 << 62
     for b, n in sizes:

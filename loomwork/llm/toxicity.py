@@ -189,7 +189,7 @@ def learn_lexicon(rows: DataFrame, least: int = 3, ratio: float = 10.0, stems: t
         both = F.col("t") + F.col("f")
         g = F.col("t") * F.log(F.col("t") / (share * both)) + F.when(F.col("f") > 0, F.col("f") * F.log(F.col("f") / ((1 - share) * both))).otherwise(0.0)
         need = F.create_map(*[F.lit(x) for n, c in tried.items() for x in (n, float(np.log(c) + 2))]) if tried else F.create_map(F.lit(0), F.lit(1.0))
-        found = counted.where((F.col("t") >= least) & (g >= need[F.col("n")]) & (F.col("t") * (1 - share) >= ratio * share * F.col("f"))).orderBy(F.desc("t"), "n", "s").limit(5000).collect()
+        found = counted.where((F.col("t") >= least) & (g >= need[F.col("n")]) & (F.col("t") * (1 - share) >= ratio * share * F.col("f"))).orderBy(F.desc("t"), "n", "s").collect()  # the labelled sample bounds them
     finally:
         counted.unpersist()
     at = [{r.s: r.t for r in found if r.n == n and (n == 0 or (r.f == 0 and r.kinds >= 4))} for n in (0, *range(stems[0], stems[1] + 1))]

@@ -9,7 +9,7 @@ pytest.importorskip("public_tokenizers")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from loomwork.llm import imagematch, maxent, weightedhash  # noqa: E402
+from loomwork.llm import imagematch, jaccard, maxent, toxicity, weightedhash  # noqa: E402
 
 
 def test_all_codes_within_near_meet(spark):
@@ -55,3 +55,16 @@ def test_fingerprints_hold_48_samples(spark):
     got = weightedhash.edited_likeness(docs).collect()
     assert {len(r.fingerprint) for r in got} == {4 * 48}
     assert all(abs(r.near_next * 48 - round(r.near_next * 48)) < 1e-9 for r in got if r.near_next is not None)
+
+
+def test_all_rows_count_frequent_elements(spark):
+    docs = spark.createDataFrame([(i, "one two three four five six seven") for i in range(20)], "doc_id long, text string")
+    assert len(jaccard._frequent(docs, 3, 90, "doc_id", "text"))  # a quarter of the rows holds fewer than HEAVY
+
+
+def test_lexicon_keeps_all_candidates(spark):
+    rng = np.random.default_rng(8)
+    words = sorted({"".join(map(chr, x)) for x in rng.integers(97, 123, (5600, 8))})
+    rows = [(" ".join(rng.permutation(words).tolist()), 1) for _ in range(8)] + [("clean text", 0)] * 40
+    found = toxicity.learn_lexicon(spark.createDataFrame(rows, "t string, y int"))
+    assert sum(w in set(found.terms) or w.startswith(tuple(found.stems)) for w in words) > 5500
