@@ -6,8 +6,9 @@ JSON footer, its length and a magic word.  Boundaries take about ``2 + log2(ids
 each: low bits packed, high bits in unary, and a select sample every 256 documents from which any
 offset is found without a table of 64-bit offsets.
 
-Null text is empty text: such a document holds the end id alone.  Repeated keys are kept in the
-order of their texts; null keys come first.  An empty table gives a folder of empty files.
+Null text is empty text: such a document holds the end id alone.  Texts of any length are written
+whole.  Repeated keys (ties) are kept in the order of their texts; null keys come first.  An empty
+table gives a folder of one empty file.  Extra columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -22,11 +23,14 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomwork.llm.tokens import encoder, slices
 
 MAGIC = b"TOKEF001"
 SAMPLE = 256
+#: A file holds about so much text, and so many documents, so its keys and boundaries are bounded.
+FILE_BYTES, FILE_DOCS = 64 << 20, 1 << 19
 
 
 class EliasFano:
@@ -124,30 +128,31 @@ def write_files(df: DataFrame, folder: str, path: str, end_id: int, key: str = "
         task = TaskContext.get()
         store, root = fs.FileSystem.from_uri(folder)
         code = "<u2" if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-        end, width = np.array([end_id], dtype=code).tobytes(), np.dtype(code).itemsize
         name = f"part-{task.partitionId():05d}.tok"
         temporary = posixpath.join(root, f".{name}.{task.taskAttemptId()}")
-        keys, bounds, total = [], [0], 0
+        keys, bounds, total = [], [np.zeros(1, np.int64)], 0
         with store.open_output_stream(temporary) as out:
             for b in batches:
                 keys += b.column(0).to_pylist()
-                texts = b.column(1).to_pylist()
-                for i, j in slices(texts):
-                    for raw in encoder(path, code).encode(texts[i:j]):
-                        out.write(raw + end)
-                        total += len(raw) // width + 1
-                        bounds.append(total)
-            head, parts = EliasFano.of(np.array(bounds)).parts()
+                for i, j in slices(b.column(1)):
+                    ids, size = encoder(path, code).encode(b.column(1).slice(i, j - i))
+                    out.write(np.insert(ids, np.cumsum(size), end_id).astype(code).tobytes())
+                    bounds.append(total + np.cumsum(size + 1))
+                    total = int(bounds[-1][-1])
+            head, parts = EliasFano.of(np.concatenate(bounds)).parts()
             parts.insert(0, zlib.compress(json.dumps(keys).encode()))
             for p in parts:
                 out.write(p)
-            footer = json.dumps({"dtype": code, "ids_bytes": total * width, "parts": [len(p) for p in parts], "bounds": head}).encode()
+            footer = json.dumps({"dtype": code, "ids_bytes": total * np.dtype(code).itemsize, "parts": [len(p) for p in parts], "bounds": head}).encode()
             out.write(footer + len(footer).to_bytes(8, "little") + MAGIC)
         store.move(temporary, posixpath.join(root, name))
         yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "file": name, "docs": len(keys), "ids": total}], schema=pa.schema([("shard", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
-    ordered = df.select(df[key].alias("k"), df[text].alias("t")).repartitionByRange("k").sortWithinPartitions("k", "t")
-    made = ordered.mapInArrow(run, "shard int, file string, docs long, ids long").collect()  # a row a file, as a commit protocol keeps
+    texts = df.select(df[key].alias("k"), df[text].alias("t"))
+    size = texts.agg(F.sum(F.octet_length("t")).alias("b"), F.count("*").alias("n")).first()
+    spread = min(2 * spark.sparkContext.defaultParallelism, (size.b or 0) >> 20)  # small tables still use all cores
+    files = max(1, spread, -(-(size.b or 0) // FILE_BYTES), -(-size.n // FILE_DOCS))  # a file's keys and boundaries fit a task
+    made = texts.repartitionByRange(files, "k").sortWithinPartitions("k", "t").mapInArrow(run, "shard int, file string, docs long, ids long").collect()  # a row a file, as a commit protocol keeps
     rows, start = [], 0
     for r in sorted(made, key=lambda r: r.shard):
         rows.append((r.shard, r.file, r.docs, r.ids, start))
@@ -178,9 +183,9 @@ def read_files(spark: SparkSession, folder: str, key: str = "doc_id", kind: str
                 for i in range(0, len(f), 1024):
                     j = min(len(f), i + 1024)
                     own = at[i : j + 1]
-                    ids = f.ids(i, j)
+                    ids = f.ids(i, j).astype("<u4")
                     each = [ids[a:b] for a, b in zip(own - own[0], own[1:] - own[0])]
-                    last = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in each], pa.int64()) if digest else pa.array([x.astype(np.int32) for x in each], pa.list_(pa.int32()))
+                    last = pa.array([zlib.crc32(x) for x in each], pa.int64()) if digest else pa.array([x.astype(np.int32) for x in each], pa.list_(pa.int32()))
                     yield pa.RecordBatch.from_arrays([pa.array(f.keys[i:j], pa.int64() if kind == "long" else pa.string()), pa.array(own[:-1] + row["start"], pa.int64()), pa.array(np.diff(own), pa.int64()), last], ["k", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
     return manifest(spark, folder).mapInArrow(run, f"k {kind}, start long, n_tokens long, {value}").withColumnRenamed("k", key)

@@ -1,126 +1,158 @@
-"""Whole-text token ids with the ``tokenizers`` library, one cached lookup per chunk.
+"""Whole-text token ids with the ``tokenizers`` library, one lookup per distinct chunk.
 
 A byte-level BPE never merges across a change from non-space to space, so a text cut before each
-run of spaces encodes to the concatenation of its chunks' ids.  Chunks repeat heavily, so each is
-encoded once per worker and then found in a bounded dictionary.  Texts with white space other than
-space and newline take the library's path as a whole.
+single space and newline encodes to the concatenation of its chunks' ids.  Arrow splits whole columns
+and numbers their distinct chunks; only these are looked up in a bounded dictionary, and numpy puts
+the ids together.  Texts with other white space take the library's path as a whole.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 from functools import lru_cache
 
-_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-#: White space other than space and newline, in either library's view.
-_ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
-#: Marks the key of a chunk that is no space with a word; no word holds it.
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Texts in which white space other than single spaces and one or two newlines decides the pre-tokens.
+_HARD = "[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{2060}\\x{3000}\\x{feff}]|  | \\n|\\n |\\n\\n\\n|\\n\\n\\z"
+#: Marks the key of a chunk that starts a text; no other key starts with two newlines.
 _ALONE = "\n\n"
-_SPACE = ("", " ", "\n")
 
 
 class ChunkEncoder:
-    """text → little-endian bytes of its ids, in ``dtype``."""
+    """Texts → ids, in ``dtype``.
+
+    ``special_as_text``: the strings of special tokens in a text are ordinary text, as the notes of the
+    tokenizer files ask for; else they become the special tokens, as a freshly loaded file has it.
+    """
 
-    def __init__(self, path: str, dtype: str = "<u4", cache: int = 800_000):
+    def __init__(self, path: str, dtype: str = "<u4", cache: int = 400_000, special_as_text: bool = True):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = special_as_text
         self.model = self.library.model
+        self.hard = _HARD
+        if not special_as_text:
+            self.hard += "".join("|" + re.sub(r"\W", lambda m: "\\" + m[0], t.content) for t in self.library.get_added_tokens_decoder().values())
         # the byte-level alphabet: printable Latin-1 stands for itself, other bytes for characters from 256 on
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         other = iter(range(256, 512))
         self.alphabet = [chr(b if b in plain else next(other)) for b in range(256)]
-        # two generations of ``cache`` chunks each: what is used again moves to the younger
-        self.code, self.limit, self.known, self.old = {"<u2": "H", "<u4": "I"}[dtype], cache, {}, {}
+        self.dtype, self.limit = np.dtype(dtype), cache
         *marks, self.newline = self._encode([",", ".", "\n"])
         self.marks = dict(zip(",.", marks))
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _word(self, w: str, space: bool = True) -> bytes:
-        """Ids of a word of letters, with a space before it or not: one pre-token, straight from the library's model."""
-        chars = w if w.isascii() else "".join(map(self.alphabet.__getitem__, w.encode()))
-        return array(self.code, [t.id for t in self.model.tokenize(self.alphabet[32] + chars if space else chars)]).tobytes()
-
-    def _plain(self, k: str) -> bytes | None:
-        """Ids of a space and a word, perhaps with a mark after it; a mark is a pre-token of its own. Null for other keys."""
-        w = k[:-1] if k[-1:] in self.marks else k
+        self._clear()
+
+    def _clear(self) -> None:
+        """Forget all chunks: key → row, and the ids of all rows one after another."""
+        self.known: dict[str, int] = {}
+        self.flat, self.start, self.size = np.zeros(1 << 16, self.dtype), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.used = 0
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, w: str, space: bool) -> list[int] | None:
+        """Ids of a word of letters, perhaps with a mark after it, straight from the library's model: each is one pre-token. Null for other words."""
+        mark = self.marks.get(w[-1:])
+        if mark:
+            w = w[:-1]
         if not w.isalpha() or max(w) >= "\u0250":
             return None
-        ids = self.known.get(w) or self.old.get(w)
-        if ids is None:
-            ids = self.known[w] = self._word(w)
-        return ids if w is k else ids + self.marks[k[-1]]
-
-    def _learn(self, keys: set[str]) -> None:
-        """Encode new keys: plain words, and two with one newline between, by their parts; others by the library as they are."""
-        known, rest, old = self.known, [], self.old.get
+        chars = w if w.isascii() else "".join(map(self.alphabet.__getitem__, w.encode()))
+        ids = [t.id for t in self.model.tokenize(self.alphabet[32] + chars if space else chars)]
+        return ids + mark if mark else ids
+
+    def _learn(self, keys: list[str]) -> None:
+        """Add rows for new keys: " " + key, or without that space after a newline or at a text's start."""
+        found: list[list[int] | None] = []
+        rest: list[str] = []
         for k in keys:
-            if (ids := old(k)) is not None:
-                known[k] = ids
-                continue
-            a, newline, b = k.partition("\n")
-            ids = self._plain(a)
-            if newline and ids is not None:
-                ids = ids + self.newline + self._word(b, False) if b.isalpha() and max(b) < "\u0250" else None
+            if k.startswith(_ALONE):
+                head, w, space = [], k[2:], False
+            elif k[:1] == "\n":
+                head, w, space = self.newline, k[1:], False
+            else:
+                head, w, space = [], k, True
+            ids = self._word(w, space) if w else [] if not space else None
             if ids is None:
-                rest.append(k)
+                rest.append(" " + w if space else w)
+                found.append(None)
             else:
-                known[k] = ids
-        known.update(zip(rest, self._encode([k[2:] if k.startswith(_ALONE) else " " + k for k in rest])))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; null counts as empty."""
+                found.append(head + ids if head else ids)
+        own = iter(self._encode(rest))
+        found = [x if x is not None else (self.newline if k[:1] == "\n" and k[:2] != _ALONE else []) + next(own) for k, x in zip(keys, found)]
+        size = np.array([len(x) for x in found], np.int64)
+        base, total = len(self.known), int(size.sum())
+        while len(self.flat) < self.used + total:
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.start) < base + len(keys):
+            self.start, self.size = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.size, np.zeros_like(self.size)])
+        self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), self.dtype, total)
+        self.start[base : base + len(keys)] = self.used + np.cumsum(size) - size
+        self.size[base : base + len(keys)] = size
+        self.used += total
+        self.known.update(zip(keys, range(base, base + len(keys))))
+
+    def _rows(self, keys: list[str]) -> np.ndarray:
+        found = list(map(self.known.get, keys))
+        if None in found:
+            self._learn(list(dict.fromkeys(k for k, i in zip(keys, found) if i is None)))
+            found = list(map(self.known.__getitem__, keys))
+        return np.array(found, np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each text has; null counts as empty."""
         if len(self.known) > self.limit:
-            self.old, self.known = self.known, {}
-        known, out, open_ = self.known, [], []
-        get, new = known.get, set()
-        for t in texts:
-            if not t:
-                out.append(b"")
-                continue
-            if _ODD_SPACE.search(t):
-                out.append(self._encode([t])[0])
-                continue
-            if "  " in t or " \n" in t or "\n " in t:
-                keys = [c[1:] if c[0] == " " and c[1:2] not in _SPACE else _ALONE + c for c in _CHUNK.findall(t)]
-            else:  # single spaces only: each chunk but the first stands for " " + itself
-                keys = t.split(" ")
-                keys[0] = _ALONE + keys[0]
-            ids = list(map(get, keys))
-            if None in ids:
-                new.update(k for k, i in zip(keys, ids) if i is None)
-                open_.append((len(out), keys))
-                ids = ()
-            out.append(b"".join(ids))
-        if new:
-            self._learn(new)
-            for i, keys in open_:
-                out[i] = b"".join(map(known.__getitem__, keys))
-        return out
+            self._clear()
+        texts = pc.fill_null(texts, "")
+        hard = pc.match_substring_regex(texts, self.hard)
+        if pc.any(hard).as_py():
+            own = [np.array(x, self.dtype) for x in self._encode(texts.filter(hard).to_pylist())]
+            ids, size = self._easy(texts.filter(pc.invert(hard)))
+            easy = np.split(ids, np.cumsum(size)[:-1]) if len(size) else []
+            out, a, b = [], iter(own), iter(easy)
+            for h in hard.to_pylist():
+                out.append(next(a) if h else next(b))
+            return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+        return self._easy(texts)
+
+    def _easy(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not len(texts):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        chunks = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        at = chunks.offsets.to_numpy().astype(np.int64)
+        words = chunks.flatten()
+        at -= at[0]
+        coded = words.dictionary_encode()
+        row = self._rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        row[at[:-1]] = self._rows([_ALONE + w for w in words.take(pa.array(at[:-1])).to_pylist()])
+        size, start = self.size[row], self.start[row]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(start - (ends - size), size) + np.arange(ends[-1])]
+        return ids, np.add.reduceat(size, at[:-1])
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, dtype: str = "<u4") -> ChunkEncoder:
+def encoder(path: str, dtype: str = "<u4", special_as_text: bool = True) -> ChunkEncoder:
     """One encoder a worker process."""
-    return ChunkEncoder(path, dtype)
+    return ChunkEncoder(path, dtype, special_as_text=special_as_text)
 
 
-def slices(texts: list, most_chars: int = 2_000_000):
-    """Index ranges of at most about ``most_chars`` characters, so that work space stays bounded."""
+def slices(texts: list | pa.Array, most_chars: int = 2_000_000):
+    """Index ranges of at most about ``most_chars`` characters (bytes of a column), so that work space stays bounded."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist() if isinstance(texts, pa.Array) else [len(t or "") for t in texts]
     start = held = 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
+    for i, n in enumerate(sizes):
         if held and held + n > most_chars:
             yield start, i
             start, held = i, 0
         held += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)

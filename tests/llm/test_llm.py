@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -19,7 +20,7 @@ import tiktoken  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-from loomwork.llm import bpe, components, eliasfano, imagematch, jaccard, langid, linededup, maxent, packing, queries, toxicity, weightedhash  # noqa: E402
+from loomwork.llm import bpe, components, eliasfano, imagematch, jaccard, langid, linededup, maxent, packing, queries, tokens, toxicity, weightedhash  # noqa: E402
 from loomwork.llm.common import fold  # noqa: E402
 
 JSON, RANKS, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
@@ -250,21 +251,24 @@ def test_neighbours_fill_the_window():
     rng = np.random.default_rng(2)
     topics = [rng.integers(i * 1000, i * 1000 + 300, (6, 100)) for i in range(4)]
     docs = [d for group in zip(*topics) for d in group]  # topics alternate
-    pieces = packing.pack_shard(docs, 300)
+    pieces = packing.pack_shard(docs, 300, np.ones(4000), 100.0)
     rooms = collections.defaultdict(set)
     for d, _, _, s, _ in pieces:
         rooms[s].add(d % 4)
     assert np.mean([len(x) for x in rooms.values()]) < 1.7
-    index = packing.Shard(docs, query_terms=1000)
+    found = collections.Counter(t for d in docs for t in set(d.tolist()))
+    n, mean = len(docs), np.mean([len(d) for d in docs])
+    idf = np.zeros(4000)
+    for t, c in found.items():
+        idf[t] = np.log1p((n - c + 0.5) / (c + 0.5))
+    index = packing.Shard(docs, idf, mean)
     for seed in range(len(docs)):  # against BM25 computed pair by pair
         got = index.neighbours(seed, np.arange(len(docs)) != seed)
-        size, n = np.array([len(d) for d in docs]), len(docs)
+        size = np.array([len(d) for d in docs])
         score = np.zeros(n)
         for t in set(docs[seed].tolist()):
             tf = np.array([(d == t).sum() for d in docs])
-            df = (tf > 0).sum()
-            if 1 < df <= max(8, n // 4):
-                score += np.log1p((n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / size.mean()))
+            score += idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))
         score[seed] = 0
         assert set(got) == set(np.flatnonzero(score)) and np.allclose(np.sort(score[got])[::-1], score[got])
 
@@ -382,6 +386,27 @@ def test_elias_fano(values):
         assert sum(map(len, parts)) * 8 < 16 * len(values)  # 64 bits each in a plain table
 
 
+@pytest.mark.parametrize("special", [True, False])
+def test_chunks_equal_library(special):
+    own, plain = tokens.ChunkEncoder(JSON, "<u4", special_as_text=special), Tokenizer.from_file(JSON)
+    plain.encode_special_tokens = special
+    rng = random.Random(5)
+    parts = ["a", "foo", "Bar", " ", " ", "\n", "\n\n", "  ", "\t", "'s", "'", "1", "23", ".", ",", "!", "é", "ñ", "日", "\u00a0", "<|endoftext|>", "\ufb01", "_", "\r\n", "x" * 30]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(4000)] + [None, "", "word " * 5000]
+    ids, size = own.encode(pa.array(texts))
+    for got, e in zip(np.split(ids, np.cumsum(size)[:-1]), plain.encode_batch([t or "" for t in texts], add_special_tokens=False), strict=True):
+        assert got.tolist() == e.ids
+
+
+def test_token_files_hold_null_keys_and_many_files(spark, edge, tmp_path, monkeypatch):
+    monkeypatch.setattr(eliasfano, "FILE_DOCS", 3)
+    folder = f"file://{tmp_path}/many"
+    assert eliasfano.write_files(edge, folder, JSON, 2).count() > 2
+    got = sorted(eliasfano.read_files(spark, folder).collect(), key=lambda r: r.start)
+    assert len(got) == edge.count() and got[0].doc_id is None
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got[:-1]]]).tolist()
+
+
 def test_token_files(spark, edge, library, tmp_path):
     folder = f"file://{tmp_path}/tokens"
     made = eliasfano.write_files(edge.where("doc_id is not null"), folder, JSON, 2)
