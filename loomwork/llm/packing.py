@@ -2,12 +2,16 @@
 
 Documents are tokenised once into the shared folder, then dealt into shards by a min-hash of their
 id pairs (related texts meet; the key is completed by doc_id, so a hot key splits).  Each shard has
-a BM25 inverted index over its ids.  A seed opens a window; the index returns its unused neighbours,
-best first, which fill the window greedily; the document that overflows is cut and its rest opens
-the next window.  What is left at the end of a shard is cut into powers of two, so no id is padded.
-
-Null text is empty text (the end id alone).  Every row is packed, repeated rows too; an empty table
-gives an empty result.  Extra columns are left out.
+a BM25 inverted index over its ids, with document frequencies and mean length of the whole corpus.  A
+seed opens a window; the index returns its unused neighbours, best first by all ids of the seed, which
+fill the window greedily; the document that overflows is cut and its rest opens the next window.  What
+is left at the end of a shard is cut into powers of two, so no id is padded.
+
+Shards hold about SHARD_IDS ids, so a task's memory is bounded; a text of any length is cut into as
+many windows as it needs and its shard grows by it.  Neighbours in other shards are not returned.
+Null text is empty text (the end id alone).  Every row is packed, repeated rows and null keys too; of
+equally good neighbours the earlier in the shard's order (min-hash, key, length) comes first.  An
+empty table gives an empty result.  Extra columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -29,35 +33,62 @@ SHARD_IDS, SHARD_ROWS = 4_000_000, 60_000
 K1, B = 1.2, 0.75
 
 
+def _width(path: str, end_id: int) -> str:
+    """The narrowest of two unsigned types that holds all ids."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
 def tokenised(df: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, near long, n int, ids binary of unsigned 16- or 32-bit integers), the end id included."""
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        code = "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
-        end = np.array([end_id], dtype=code).tobytes()
+        code = _width(path, end_id)
+        kind = np.dtype(code)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for i, j in slices(texts):
-                raw = [x + end for x in encoder(path, code).encode(texts[i:j])]
-                near, n = [], []
-                for x in raw:
-                    ids = np.frombuffer(x, code).astype(np.uint32)
-                    h = (ids[:-1] * np.uint32(0x9E3779B1) ^ ids[1:]) * np.uint32(0x85EBCA6B) if len(ids) > 1 else ids
-                    near.append(int(h.min()))
-                    n.append(len(ids))
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(near, pa.int64()), pa.array(n, pa.int32()), pa.array(raw, pa.binary()), pa.array([np.dtype(code).itemsize] * len(raw), pa.int32())], ["k", "near", "n", "ids", "width"])
+            for i, j in slices(b.column(1)):
+                ids, size = encoder(path, code).encode(b.column(1).slice(i, j - i))
+                ends = np.cumsum(size)
+                ids = np.insert(ids, ends, end_id)
+                size = size + 1
+                start, last = np.cumsum(size) - size, np.cumsum(size) - 1
+                h = ids.astype(np.uint32)
+                h[:-1] = (h[:-1] * np.uint32(0x9E3779B1) ^ h[1:]) * np.uint32(0x85EBCA6B)
+                h[last] = np.where(size > 1, np.uint32(0xFFFFFFFF), ids[last].astype(np.uint32))  # no pair reaches into the next text
+                near = np.minimum.reduceat(h, start).astype(np.int64)
+                offsets = np.concatenate([[0], np.cumsum(size) * kind.itemsize]).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(code).tobytes())])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(near), pa.array(size.astype(np.int32)), raw, pa.array(np.full(j - i, kind.itemsize, np.int32))], ["k", "near", "n", "ids", "width"])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(df[key].alias("k"), df[text].alias("t")).mapInArrow(run, f"k {kind}, near long, n int, ids binary, width int")
 
 
+def document_frequencies(ids: DataFrame) -> dict[int, int]:
+    """How many of all documents hold each id; the vocabulary bounds what reaches the driver."""
+
+    def run(batches):
+        total = np.zeros(0, np.int64)
+        for b in batches:
+            for raw, width in zip(b.column(0), b.column(1).to_pylist()):
+                own = np.bincount(np.unique(np.frombuffer(raw.as_buffer(), "<u2" if width == 2 else "<u4")))
+                if len(own) > len(total):
+                    own[: len(total)] += total
+                    total = own
+                else:
+                    total[: len(own)] += own
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "c"])
+
+    return {r.id: r.c for r in ids.select("ids", "width").mapInArrow(run, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).collect()}
+
+
 class Shard:
-    """BM25 over the ids of some documents."""
+    """BM25 over the ids of some documents; ``idf`` by id and the ``mean`` length are those of the corpus."""
 
-    def __init__(self, docs: list[np.ndarray], query_terms: int = 24):
-        self.docs, self.q = docs, query_terms
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
+        self.docs = docs
         n = self.n = len(docs)
         size = np.array([len(d) for d in docs], dtype=np.int64)
         pair = np.concatenate(docs).astype(np.int64) * n + np.repeat(np.arange(n), size)
@@ -67,21 +98,14 @@ class Shard:
         term, self.doc = np.divmod(pair.astype(np.int64), n)
         df = np.bincount(term)
         self.starts = np.concatenate([[0], np.cumsum(df)])
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        self.weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.doc] / size.mean()))).astype(np.float64)
-        useful = np.where((df > 1) & (df <= max(8, n // 4)), idf, 0.0)
+        self.weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.doc] / mean))).astype(np.float64)
         order = np.argsort(self.doc, kind="stable")
         self.of_doc = np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=n))])
-        self.terms, self.gain = term[order], (useful[term] * tf)[order]
+        self.terms = term[order]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a telling term with the seed, best first."""
-        a, b = self.of_doc[seed], self.of_doc[seed + 1]
-        gain = self.gain[a:b]
-        top = np.argpartition(gain, -self.q)[-self.q :] if b - a > self.q else np.arange(b - a)
-        terms = self.terms[a:b][top[gain[top] > 0]]
-        if not len(terms):
-            return terms
+        """Unused documents that share an id with the seed, best first; all ids of the seed are asked."""
+        terms = self.terms[self.of_doc[seed] : self.of_doc[seed + 1]]
         spans = [slice(self.starts[t], self.starts[t + 1]) for t in terms]
         score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
         score *= unused
@@ -89,11 +113,11 @@ class Shard:
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack_shard(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list[np.ndarray], window: int, idf: np.ndarray, mean: float) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece; every sequence is full but the last."""
     if not docs:
         return []
-    index, unused = Shard(docs), np.ones(len(docs), dtype=bool)
+    index, unused = Shard(docs, idf, mean), np.ones(len(docs), dtype=bool)
     out, sequence, fill, after = [], 0, 0, 0
     carry: tuple[int, int] | None = None
 
@@ -145,13 +169,18 @@ def cut_tail(pieces: list[tuple[int, int, int, int, int]], window: int) -> list[
 def pack(df: DataFrame, path: str, end_id: int = 1, window: int = 2048, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of every piece."""
     ids = written(tokenised(df, path, end_id, key, text), "packing")
-    total = ids.agg(F.sum("n")).first()[0] or 0
+    size = ids.agg(F.sum("n").alias("ids"), F.count("*").alias("docs")).first()
+    total = size.ids or 0
     parts = max(1, -(-total // SHARD_IDS))
+    found = document_frequencies(ids)
+    seen = np.zeros(max(found, default=0) + 1)
+    seen[list(found)] = list(found.values())
+    idf, mean = np.log1p((size.docs - seen + 0.5) / (seen + 0.5)), total / max(1, size.docs)
     kind = df.schema[key].dataType.simpleString()
 
     def block(rows: list[tuple], base: int) -> tuple[pa.RecordBatch, int]:
         docs = [np.frombuffer(r[1], "<u2" if r[2] == 2 else "<u4") for r in rows]
-        pieces = cut_tail(pack_shard(docs, window), window)
+        pieces = cut_tail(pack_shard(docs, window, idf, mean), window)
         cols = list(zip(*pieces))
         own = [docs[d][s : s + n].astype("<u4") for d, s, n, _, _ in pieces]
         arrays = [pa.array([rows[d][0] for d in cols[0]], type=pa.int64() if kind == "bigint" else None), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64()), pa.array([len(docs[d]) for d in cols[0]], pa.int64()), pa.array([base + s for s in cols[3]], pa.int64()), pa.array(cols[4], pa.int64())]
