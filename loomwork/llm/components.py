@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import written
+from loomwork.llm.common import release, written
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -24,12 +24,15 @@ def _star(neighbours: DataFrame, keep, low) -> DataFrame:
     return linked.union(own).where("a <> b").distinct() if low else linked.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; self links and repeats don't matter."""
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    before = None
-    for _ in range(rounds):
+    before, last = None, None
+    while True:  # each round but the last joins trees; the number of rounds grows with the logarithm of the longest chain
         edges = written(edges, "components")
+        if last is not None:
+            release(last)
+        last = edges
         mark = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if mark == before or not mark[0]:
             break
@@ -37,6 +40,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = _star(_both(edges), F.col("v") > F.col("u"), low=False)
         small = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         edges = _star(small, F.lit(True), low=True).select("a", "b")
-    else:
-        raise RuntimeError("components did not settle")
     return edges.groupBy("b").agg(F.min("a").alias("component")).withColumnRenamed("b", "node").unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -7,24 +7,32 @@
   often come last, then by hash), and inverted lists are scanned.
 * The boundary between the two is the size with the least estimated rows: subset keys of the sets
   below it plus list scans of the sets above it.
-* A light list yields its pairs.  A heavy list first links its members to one pivot; then only
-  members of different components are still paired, so a group of copies isn't squared.
-* Candidates pass an exact bitmap bound and are verified on whole sets.
-
-The order comes from counts over a quarter of the rows and affects speed only.  Null text and text
-without words have an empty set and link with nothing; a text with fewer than ``k`` words is one
-shingle.  Repeated rows and repeated keys each come back; null keys are kept and never name a
-component.  Extra columns are left out.  An empty table gives an empty result.
+* Two sets pair in a list only if the element can be the first that they share: what follows it in
+  the shorter rest must still suffice.  A linking pair passes that at its first shared element.
+* A light list yields its pairs.  A heavy list first links its members to its pivot, the member with
+  the fewest elements of its own before it; then only members of different components are still
+  paired, so a group of copies isn't squared.
+* Candidates pass an exact bitmap bound, inside the join where lists are heavy, and are verified on
+  whole sets.
+
+The order comes from counts over all rows and affects speed only.  Null text and text without words
+have an empty set and link with nothing; a text with fewer than ``k`` words is one shingle.  Texts of
+any length give whole sets.  Repeated rows and repeated keys each come back, equal texts in one
+component; null keys are kept and never name a component.  There are no ties: every pair that reaches
+the bound links.  Extra columns, whatever their names, are left out.  An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import written
+from loomwork.llm.common import release, written
 from loomwork.llm.components import components
 from loomwork.llm.tokens import slices
 
@@ -32,7 +40,9 @@ from loomwork.llm.tokens import slices
 FREQUENT = 1 << 17
 #: A list of more members than this is heavy.
 HEAVY = 16
-#: Words of a bitmap, and of its short form for the join of heavy lists.
+#: Pivots of a heavy list, one after another, before members of different components are paired.
+PIVOTS = 2
+#: Words of a bitmap, and of its fold that is compared first where lists are heavy.
 SKETCH, BRIEF = 32, 8
 
 _u = np.uint64
@@ -105,46 +115,67 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]), pa.int32()), pa.array(np.concatenate([*rows, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)))
 
 
-def _frequent(df: DataFrame, k: int, num: int, key: str, text: str) -> np.ndarray:
-    """Elements that many sets would post, most frequent first to a bound."""
+def _class_of(s: np.ndarray) -> tuple[np.ndarray, np.uint64, np.uint64]:
+    """Mixed elements, and the two 64-bit sums that name a set."""
+    a = _mix(s)
+    return a, a.sum(dtype=np.uint64), _mix(s ^ _u(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+
+
+def _frequent(df: DataFrame, k: int, num: int, key: str, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Elements that many sets would post, to a bound, and the powers of two of their counts."""
 
     def make(keys, sets):
         return pa.RecordBatch.from_arrays([_lists([s[: 2 * (len(s) - -(-num * len(s) // 100) + 1)] for s in sets])], ["p"])
 
-    counts = written(_sets(df, k, make, "p array<long>", key, text).select(F.explode("p").alias("e")).groupBy("e").count().where(f"count > {HEAVY}"), "frequent")
-    sizes = counts.groupBy(F.floor(F.log2("count")).alias("b")).count().orderBy(F.desc("b")).collect()
-    held, least = 0, 1 << 62
+    counts = written(_sets(df, k, make, "p array<long>", key, text).select(F.explode("p").alias("e")).groupBy("e").count().where(f"count > {HEAVY}").select("e", F.floor(F.log2("count")).cast("int").alias("b")), "frequent")
+    sizes = counts.groupBy("b").count().orderBy(F.desc("b")).collect()
+    held, least = 0, 1 << 30
     for b, n in sizes:
         if (held := held + n) > FREQUENT:
             break
-        least = 1 << b
-    return np.sort(np.array([r.e for r in counts.where(F.col("count") >= least).select("e").collect()], dtype=np.int64).view(np.uint64))
+        least = b
+    found = counts.where(F.col("b") >= least).collect()  # FREQUENT rows at most
+    release(counts)
+    e, b = np.array([r.e for r in found], dtype=np.int64).view(np.uint64), np.array([r.b for r in found], dtype=np.uint8)
+    order = np.argsort(e)
+    return e[order], b[order]
 
 
-def _described(df: DataFrame, k: int, num: int, frequent: np.ndarray, key: str, text: str) -> DataFrame:
+def _described(df: DataFrame, k: int, num: int, frequent: tuple[np.ndarray, np.ndarray], key: str, text: str) -> DataFrame:
     """A row for each document: its class, size, bitmap, posted elements, and subset keys where it is small."""
     small = 200 // (100 - num) if num < 100 else 1 << 30  # unions below this differ by one element at most
     small -= 200 % (100 - num) == 0 if num < 100 else 0
+    known, level = frequent
+
+    def in_order(s: np.ndarray, most: int) -> np.ndarray:
+        """The first ``most`` elements: rare ones by hash, then frequent ones from the rarest on."""
+        if not len(known):
+            return s[:most]
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        late = known[at] == s
+        first = s[~late]
+        if len(first) >= most:
+            return first[:most]
+        own = s[late]
+        return np.concatenate([first, own[np.argsort(level[at[late]], kind="stable")]])[:most]
 
     def make(keys, sets):
-        cls, posted, subsets, sketch, brief = [], [], [], [], []
+        c1, c2, posted, subsets, sketch = [], [], [], [], []
         for s in sets:
             n = len(s)
-            a, b = _mix(s), _mix(s ^ _u(0x5851F42D4C957F2D))
-            x, y = a.sum(dtype=np.uint64), b.sum(dtype=np.uint64)
-            cls.append(x.tobytes() + y.tobytes())
+            a, x, y = _class_of(s)
+            c1.append(x)
+            c2.append(y)
             bits = np.bincount((a >> _u(53)).astype(np.int64), minlength=64 * SKETCH).astype(np.uint8) & 1
             sketch.append(np.packbits(bits).view(np.uint64))
-            brief.append(np.bitwise_xor.reduce(sketch[-1].reshape(-1, BRIEF), axis=0))
-            at = np.searchsorted(frequent, s)
-            late = frequent[np.minimum(at, len(frequent) - 1)] == s if len(frequent) else np.zeros(n, bool)
-            posted.append(np.concatenate([s[~late], s[late]])[: n - -(-num * n // 100) + 1] if n else s)
+            posted.append(in_order(s, n - -(-num * n // 100) + 1) if n else s)
             minus = num * n <= 100 * (n - 1)  # may a partner lack one?
             subsets.append(_mix(np.concatenate([x[None], x - a]) if minus else x[None]) if 0 < n <= small else s[:0])
-        return pa.RecordBatch.from_arrays([keys, pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), _lists(sketch), _lists(brief), _lists(posted), _lists(subsets)], ["k", "n", "cls", "sketch", "brief", "posted", "subsets"])
+        longs = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
+        return pa.RecordBatch.from_arrays([keys, pa.array([len(s) for s in sets], pa.int32()), longs(c1), longs(c2), _lists(sketch), _lists(posted), _lists(subsets)], ["k", "n", "c1", "c2", "sketch", "posted", "subsets"])
 
     kind = df.schema[key].dataType.simpleString()
-    return _sets(df, k, make, f"k {kind}, n long, cls binary, sketch array<long>, brief array<long>, posted array<long>, subsets array<long>", key, text)
+    return _sets(df, k, make, f"k {kind}, n int, c1 long, c2 long, sketch array<long>, posted array<long>, subsets array<long>", key, text)
 
 
 def _boundary(classes: DataFrame, lists: DataFrame, small: int) -> int:
@@ -156,92 +187,128 @@ def _boundary(classes: DataFrame, lists: DataFrame, small: int) -> int:
 
 
 def _may_link(a: str, b: str, num: int) -> Column:
-    """Size bound and, for lists, the bound from the places of a shared element."""
+    """Can this be the first shared element of two sets that link? It holds the size bound too."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (100 * F.least(n, m) >= num * F.greatest(n, m)) & ((100 + num) * (1 + F.least(f"{a}.at", f"{b}.at") + F.least(n - F.col(f"{a}.at"), m - F.col(f"{b}.at")) - 1) >= num * (n + m))
+    return (100 + num) * F.least(n - F.col(f"{a}.at"), m - F.col(f"{b}.at")) >= num * (n + m)
 
 
-def _near_sketch(num: int, name: str, size: int) -> Column:
+def _near(num: int, words: list[tuple[Column, Column]]) -> Column:
     """Bits that differ are elements that differ: an exact bound."""
-    differ = sum((F.bit_count(F.col(f"x.{name}")[i].bitwiseXOR(F.col(f"y.{name}")[i])) for i in range(size)), F.lit(0))
+    differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in words), F.lit(0))
     return (100 + num) * differ <= (100 - num) * (F.col("x.n") + F.col("y.n"))
 
 
+def _near_sketch(num: int) -> Column:
+    return _near(num, [(F.col("x.sketch")[i], F.col("y.sketch")[i]) for i in range(SKETCH)])
+
+
+def _near_brief(num: int) -> Column:
+    return _near(num, [(F.col(f"x.b{i}"), F.col(f"y.b{i}")) for i in range(BRIEF)])
+
+
+def _brief() -> list[Column]:
+    """The fold of ``sketch``: plain columns, which a join compares faster than an array's entries."""
+    return [reduce(Column.bitwiseXOR, [F.col("sketch")[j] for j in range(i, SKETCH, BRIEF)]).alias(f"b{i}") for i in range(BRIEF)]
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
+    """The pairs (a, b) whose whole sets link; an Arrow batch is bounded in bytes."""
 
     def run(batches):
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    x, y = sets.select(F.col("cls").alias("a"), F.col("whole").alias("wa")), sets.select(F.col("cls").alias("b"), F.col("whole").alias("wb"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a binary, b binary")
+    x, y = sets.select(F.col("id").alias("a"), F.col("whole").alias("wa")), sets.select(F.col("id").alias("b"), F.col("whole").alias("wb"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
 def near_components(df: DataFrame, k: int = 5, num: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id): the smallest key reachable over links of Jaccard ``num / 100`` or more."""
     frequent = _frequent(df, k, num, key, text)
     info = written(_described(df, k, num, frequent, key, text), "sets")
-    classes = written(info.where("n > 0").select("cls", "n", "sketch", "brief", "posted", "subsets").dropDuplicates(["cls"]), "classes")
-    scanned = classes.select("cls", "n", F.posexplode("posted").alias("at", "e"))
-    count = lambda d: d.groupBy("e").agg(F.count("*").alias("c"), F.min("cls").alias("pivot")).where("c > 1")
+    classes = written(info.where("n > 0").dropDuplicates(["c1", "c2"]).withColumn("id", F.monotonically_increasing_id()), "classes")
+    member = written(info.select("k", "n", "c1", "c2").join(classes.select("c1", "c2", "id"), ["c1", "c2"], "left").select("k", "n", "id"), "members")
+    release(info)
+    scanned = classes.select("id", "n", F.posexplode("posted").alias("at", "e"))
+    count = lambda d: d.groupBy("e").agg(F.count("*").alias("c")).where("c > 1")
     lists = written(scanned.join(count(scanned), "e"), "lists")
     small = (200 - 1) // (100 - num) if num < 100 else 0
     edge = _boundary(classes, lists, small)
     # lists serve every pair with a set above the boundary; such a partner has num percent of its size at least
     least = -(-num * (edge + 1) // 100)
-    lists = lists.where(F.col("n") >= least)
-    enumerated = classes.where(F.col("n").between(1, edge)).select("cls", "n", F.lit(0).alias("at"), F.explode("subsets").alias("e"))
+    enumerated = classes.where(F.col("n").between(1, edge)).select("id", "n", F.lit(0).alias("at"), F.explode("subsets").alias("e"))
     enumerated = enumerated.join(count(enumerated), "e")
-    every = lists.select("e", "cls", "n", "at", "c", "pivot").union(enumerated.select("e", "cls", "n", "at", "c", "pivot"))
+    every = lists.where(F.col("n") >= least).select("e", "id", "n", "at", "c").union(enumerated.select("e", "id", "n", "at", "c"))
+
+    light = every.where(f"c <= {HEAVY}").drop("c")
+    ab = F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
+    meet = (F.col("x.e") == F.col("y.e")) & (F.col("x.id") < F.col("y.id")) & _may_link("x", "y", num)
+    pairs = light.alias("x").join(light.alias("y"), meet).select(*ab)
+    heavy = written(every.where(f"c > {HEAVY}").drop("c"), "heavy")
 
-    light = every.where(f"c <= {HEAVY}")
-    ab = F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")
-    pairs = light.alias("x").join(light.alias("y"), (F.col("x.e") == F.col("y.e")) & (F.col("x.cls") < F.col("y.cls")) & _may_link("x", "y", num)).select(*ab)
-    heavy = written(every.where(f"c > {HEAVY}"), "heavy")
-    stars = heavy.where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))
-    bits = classes.select("cls", "n", "sketch")
+    def starred(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The members but each list's pivot, and the pairs with the pivot."""
+        centre = members.groupBy("e").agg(F.min(F.struct("at", "n", "id")).alias("p")).select("e", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.at").alias("pat"))
+        rest = members.join(centre, "e").where("id <> pivot")
+        may = (100 + num) * F.least(F.col("n") - F.col("at"), F.col("pn") - F.col("pat")) >= num * (F.col("n") + F.col("pn"))
+        return rest.select(*members.columns), rest.where(may).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+
+    bits = classes.select("id", "n", "sketch")
 
     def likely(found: DataFrame) -> DataFrame:
-        x, y = bits.select(F.col("cls").alias("a"), F.struct("n", "sketch").alias("x")), bits.select(F.col("cls").alias("b"), F.struct("n", "sketch").alias("y"))
-        near = found.distinct().join(x, "a").join(y, "b").where(_near_sketch(num, "sketch", SKETCH) & (100 * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")))
-        return written(near.select("a", "b"), "pairs")
+        x, y = bits.select(F.col("id").alias("a"), F.struct("n", "sketch").alias("x")), bits.select(F.col("id").alias("b"), F.struct("n", "sketch").alias("y"))
+        return written(found.distinct().join(x, "a").join(y, "b").where(_near_sketch(num)).select("a", "b"), "pairs")
 
     def verified(found: DataFrame) -> DataFrame:
-        involved = found.select(F.col("a").alias("cls")).union(found.select(F.col("b").alias("cls"))).distinct()
-        one = info.where("n > 0").groupBy("cls").agg(F.min("k").alias("k"))
-        wanted = involved.join(one, "cls").select("k").distinct()
+        involved = found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))).distinct()
+        named = classes.select("id", "k", "c1", "c2").join(involved, "id")
+        wanted = named.select("k").distinct()
 
         def make(keys, sets):
-            cls = [_mix(s).sum(dtype=np.uint64).tobytes() + _mix(s ^ _u(0x5851F42D4C957F2D)).sum(dtype=np.uint64).tobytes() for s in sets]
-            return pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "whole"])
-
-        whole = written(_sets(df.join(wanted, df[key].eqNullSafe(wanted["k"]), "left_semi"), k, make, "cls binary, whole binary", key, text).dropDuplicates(["cls"]), "whole")
-        return written(_verified(found, whole, num), "links")
-
-    links = verified(likely(pairs.union(stars)))
-    labels = written(components(links), "labels")
-    # members of a heavy list in different components: the rest of its pairs
-    named = heavy.join(labels, heavy["cls"] == labels["node"], "left").select("e", "cls", "n", "at", "pivot", F.coalesce("component", "cls").alias("component")).join(classes.select("cls", "brief"), "cls")
-    mixed = named.groupBy("e").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("e")
-    rest = written(named.join(mixed, "e").where("cls <> pivot"), "rest")
-    crossed = rest.alias("x").join(rest.alias("y"), (F.col("x.e") == F.col("y.e")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", num) & _near_sketch(num, "brief", BRIEF)).select(*ab)
-    more = likely(crossed)
-    if not more.isEmpty():
-        # links between components join these, once for each two, however many of their members link
+            names = np.array([_class_of(s)[1:] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())], ["c1", "c2", "whole"])
+
+        found_sets = _sets(df.join(wanted, df[key].eqNullSafe(wanted["k"]), "left_semi"), k, make, "c1 long, c2 long, whole binary", key, text)
+        whole = written(found_sets.join(named.select("c1", "c2", "id"), ["c1", "c2"]).select("id", "whole").dropDuplicates(["id"]), "whole")
+        links = written(_verified(found, whole, num), "links")
+        release(whole, found)
+        return links
+
+    def mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+        """The members of lists in which different components are left, where a partner is possible."""
+        named = members.select("e", "id", "n", "at").join(labels, F.col("id") == F.col("node"), "left").select("e", "id", "n", "at", F.coalesce("component", "id").alias("component"))
+        lists = named.groupBy("e").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least")).where("lo <> hi").select("e", "least")
+        partner = F.greatest("least", F.ceil(F.col("n") * num / 100).cast("int"))  # the smallest that the list and the size bound allow
+        return named.join(lists, "e").where((100 + num) * (F.col("n") - F.col("at")) >= num * (F.col("n") + partner)).select("e", "id", "n", "at", "component")
+
+    def merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+        """Links between components join these, once for each two, however many of their members link."""
         name = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
-        between = verified(more).join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b")).distinct()
+        between = verified(found).join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b")).distinct()
         joined = written(components(between), "joined")
         moved = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        labels = written(moved.union(joined.join(labels, "node", "left_anti").select("node", "component")), "labels")
-    member = info.select("k", "n", "cls").join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left")
-    member = member.select("k", "n", F.coalesce("component", F.when(F.col("n") > 0, F.col("cls"))).alias("component"))
-    named = written(member, "members")
+        return written(moved.union(joined.join(labels, "node", "left_anti").select("node", "component")), "labels")
+
+    members, stars = starred(heavy)
+    labels = written(components(verified(likely(pairs.union(stars)))), "labels")
+    release(lists)
+    for _ in range(PIVOTS - 1):
+        left = written(mixed(members, labels), "rest")
+        members, stars = starred(left)
+        labels = merged(labels, likely(stars))
+    rest = written(mixed(members, labels).join(bits.select("id", *_brief()), "id"), "rest")
+    crossed = rest.alias("x").join(rest.alias("y"), meet & (F.col("x.component") != F.col("y.component")) & _near_brief(num)).select(*ab)
+    more = likely(crossed)
+    if not more.isEmpty():
+        labels = merged(labels, more)
+    release(rest, heavy)
+    placed = member.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("k", "n", F.coalesce("component", "id").alias("component"))
+    named = written(placed, "placed")
     least_key = named.where("component is not null").groupBy("component").agg(F.min("k").alias("least"))
     out = named.join(least_key, "component", "left")
-    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "k").alias("component_id"))
+    return out.select(F.col("k").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "k").alias("component_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm import bpe, eliasfano, imagematch, jaccard, langid, linededup, maxent, packing, toxicity, weightedhash
-from loomwork.llm.common import fold, read, shared_folder, written
+from loomwork.llm.common import fold, held_out, read, shared_folder, written
 
 
 def _file(name: str) -> str:
@@ -23,7 +23,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = langid.fit(docs, _file("piece_bpe_32k.model"), fold() != 0)
     found = langid.predict(docs, _file("piece_bpe_32k.model"), model)
-    return found.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out(0).alias("held_out"), "lang_pred", "score")
 
 
 def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_maxent_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = maxent.score(docs, fold() != 1)
-    return found.select("doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return found.select("doc_id", held_out(1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     found = toxicity.score(docs, toxicity.fit(docs, labels, fold() != 0))
-    return found.select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted", "n_abuse", "n_quoted")
+    return found.select("doc_id", held_out(0).alias("held_out"), "score", "predicted", "n_abuse", "n_quoted")
 
 
 def op10_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
