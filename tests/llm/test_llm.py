@@ -112,6 +112,25 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(spelled, len(word))
 
 
+def test_long_words_sum_all_segmentations(spark):
+    own, rng = langid.lattice(PIECES), np.random.default_rng(2)
+    prob = np.vstack([rng.random((own.size, 2)) * 1e-4, np.zeros((1, 2))])
+    for word in ("\u2581" + "internationalization" * 3, "\u2581" + "a\U0001f600b" * 20 + "ing"):
+        alpha = [np.ones(2)] + [np.zeros(2) for _ in word]
+        for j in range(1, len(word) + 1):
+            for i in range(j):
+                piece = own.id.get(word[i:j], own.other if j - i == 1 else None)
+                if piece is not None:
+                    alpha[j] = alpha[j] + alpha[i] * prob[piece]
+        assert len(word) > 60 and np.allclose(own.log_forward([word, word], prob), np.log(alpha[-1]))
+    assert np.isfinite(own.log_forward(["\u2581" + "x" * 20_000], prob)).all()
+
+
+def test_prediction_of_no_rows(spark, docs):
+    model = langid.fit(docs, PIECES, fold() != 0)
+    assert langid.predict(docs.limit(0), PIECES, model).count() == 0
+
+
 def test_language_held_out(spark, docs, edge):
     model = langid.fit(docs, PIECES, fold() != 0)
     got = langid.predict(docs, PIECES, model).join(docs, "doc_id").where(fold() == 0).collect()
@@ -187,7 +206,7 @@ def test_scores_match_counts(spark, docs, edge):
 def test_context_helps_on_held_out_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = maxent.score(docs, fold() != 1).where(fold() == 1).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
-    assert (r.s - r.b) / r.n > 0.02
+    assert (r.s - r.b) / r.n >= 0.139
 
 
 def test_model_probabilities_sum_to_one():
