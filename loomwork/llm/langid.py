@@ -7,9 +7,11 @@ word counts), each round one Spark job that returns expected counts, whose size
 vocabulary times languages.  Training uses a documented, bounded sample of rows per language
 (``per_language``, chosen by a hash of the key); prediction covers every row and whole texts.
 
-Null text, or text without a letter, is ``und`` with score 0.  Words over 24 characters are scored
-in runs of 24.  Repeated rows get equal results; extra columns are left out; without any training
-row every text is ``und``.
+Null text, or text without a letter, is ``und`` with score 0.  Words of any length are scored over all
+their segmentations; the expected counts of training take words over 24 characters in runs of 24.  Of
+equally likely languages the first by name is predicted.  Repeated rows get equal results; null keys
+are kept and never learned from; extra columns, whatever their names, are left out; without any
+training row every text is ``und``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +26,10 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.tokens import slices
 
+#: Characters up to which a word needs no scaling, and the share of a character outside the vocabulary.
 RUN, FLOOR = 24, 1e-9
+#: Characters of words that are walked at a time.
+CELLS = 1 << 17
 #: Slots of the piece table, and the most slots that a lookup probes.
 SLOTS, PROBES = 1 << 18, 5
 _SHIFT = np.uint64(64 - SLOTS.bit_length() + 1)
@@ -98,6 +103,26 @@ class Lattice:
             alpha.append(sum((alpha[i] * prob[ids[:, i, j - i - 1]] for i in range(max(0, j - ids.shape[2]), j)), np.zeros_like(alpha[0])))
         return alpha
 
+    def log_forward(self, words: list[str], prob: np.ndarray) -> np.ndarray:
+        """log probability [word, language] of words of one length, over all segmentations.
+
+        A long word's values are scaled as it is walked; only those of the last ``longest`` places are held.
+        """
+        n = len(words[0])
+        ids = self.edges(words, n)
+        if n <= RUN:
+            return np.log(np.maximum(self.forward(ids, prob)[n], 1e-300))
+        most = ids.shape[2]
+        window = np.zeros((most, len(words), prob.shape[1]))  # alpha at j is in row j % most
+        window[0], log = 1.0, np.zeros(window.shape[1:])
+        for j in range(1, n + 1):
+            window[j % most] = sum(window[i % most] * prob[ids[:, i, j - i - 1]] for i in range(max(0, j - most), j))
+            if j % 8 == 0 or j == n:
+                top = np.maximum(window.max(axis=0), 1e-300)
+                window /= top
+                log += np.log(top)
+        return log + np.log(np.maximum(window[n % most], 1e-300))
+
     def expected(self, ids: np.ndarray, prob: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Expected piece counts [piece, language] of words seen ``count[word, language]`` times."""
         n, alpha = ids.shape[1], self.forward(ids, prob)
@@ -130,7 +155,7 @@ def _by_length(words: list[str], block: int = 4096):
 class Scorer:
     """Word log-probabilities for all languages, remembered in bounded space."""
 
-    def __init__(self, path: str, prob: np.ndarray, cache: int = 1_000_000):
+    def __init__(self, path: str, prob: np.ndarray, cache: int = 300_000):
         self.lattice, self.limit = lattice(path), cache
         self.prob = np.vstack([prob, np.zeros((1, prob.shape[1]))])  # row -1
         self.clear()
@@ -140,16 +165,16 @@ class Scorer:
         self.value = np.zeros((1 << 12, self.prob.shape[1]), np.float32)
 
     def learn(self, words: list[str]) -> None:
-        runs = [self.lattice.runs(w) for w in words]
-        flat = [r for own in runs for r in own]
+        flat = ["\u2581" + w for w in words]
         log = np.empty((len(flat), self.prob.shape[1]))
         for n, at in _by_length(flat):
-            log[at] = np.log(np.maximum(self.lattice.forward(self.lattice.edges([flat[i] for i in at], n), self.prob)[n], 1e-300))
-        start = np.cumsum([0, *map(len, runs)])[:-1]
+            for i in range(0, len(at), max(1, CELLS // n)):
+                own = at[i : i + max(1, CELLS // n)]
+                log[own] = self.lattice.log_forward([flat[k] for k in own], self.prob)
         base = len(self.at)
         while base + len(words) > len(self.value):
             self.value = np.vstack([self.value, np.zeros_like(self.value)])
-        self.value[base : base + len(words)] = np.add.reduceat(log, start, axis=0)
+        self.value[base : base + len(words)] = log
         self.at.update(zip(words, range(base, base + len(words))))
 
     def score(self, texts: list[list[str]]) -> np.ndarray:

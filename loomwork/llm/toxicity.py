@@ -136,7 +136,7 @@ class Lexicon:
     def hits(self, words: list[str]) -> list[tuple[int, int, bool]]:
         """(word number, 1 exact or 2 misspelled, quoted) of each hit."""
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > 300_000:
             known.clear()
         codes = list(map(known.get, words))
         if None in codes:
