@@ -78,12 +78,26 @@ def conditional_measure(test: Column, value: Column) -> Column:
     return F.when(test, value).otherwise(0.0)
 
 
+def modes(df: DataFrame, cols: list[str]) -> dict:
+    """Most frequent value of each column, the smallest on a tie in the column's own order; none for an all-null column."""
+    found = {}
+    for kind in {df.schema[c].dataType.simpleString() for c in cols}:  # columns of one type are counted in one job
+        own = [c for c in cols if df.schema[c].dataType.simpleString() == kind]
+        values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in own])).alias("x")).select("x.*").where("v is not null")
+        counted = values.groupBy("c", "v").count()  # combined before the shuffle, so a hot value costs little
+        best = counted.groupBy("c").agg(F.min(F.struct((-F.col("count")).alias("n"), "v")).alias("b"))
+        found |= {r.c: r.b.v for r in best.collect()}
+    return found
+
+
+def fill(df: DataFrame, values: dict) -> DataFrame:
+    """Null → the given value of its column; columns that are not there are passed over."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v).cast(df.schema[c].dataType)) for c, v in values.items() if c in df.columns})
+
+
 def impute_mode(df: DataFrame, cols: list[str]) -> DataFrame:
     """Null → most frequent value, the smallest on a tie; an all-null column stays."""
-    counted = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])).alias("x")).select("x.*").where("v is not null").groupBy("c", "v").count()
-    # the count per value is combined before the shuffle, so a hot value costs little
-    best = counted.groupBy("c").agg(F.min(F.struct((-F.col("count")).alias("n"), "v")).alias("b")).collect()
-    return df.fillna({r.c: r.b.v for r in best if dict(df.dtypes)[r.c] == "string"}).withColumns({r.c: F.coalesce(F.col(r.c), F.lit(r.b.v).cast(df.schema[r.c].dataType)) for r in best if dict(df.dtypes)[r.c] != "string"})
+    return fill(df, modes(df, cols))
 
 
 def fraction_sample(df: DataFrame, f: float, seed: int = 42, key: str | None = None) -> DataFrame:

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions.scalars import days_between, week_bucket
 from loomwork.operators.aggregates import trip_summary, zone_summary
-from loomwork.operators.cleaning import add_ingest_time, cast_if_present, clamp_negative, clean_names, drop_empty, drop_sparse, impute_mode, keep_positive
+from loomwork.operators.cleaning import add_ingest_time, cast_if_present, clamp_negative, clean_names, drop_empty, drop_sparse, fill, keep_positive, modes
 from loomwork.sources.tables import read_layer, read_months, write_layer
 
 #: Columns that must be above 0 in a cleaned trip.
@@ -75,15 +76,24 @@ def prepare_complaints(df: DataFrame) -> DataFrame:
     return out.withColumn("label", F.when(F.col("disputed") == "Yes", 1.0).otherwise(0.0)) if "disputed" in df.columns else out
 
 
-def complaints_pipeline(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Drop sparse columns, impute, encode, scale, reduce, fit on ``train``; predictions for ``test``, which never refits anything."""
+def complaints_pipeline(train: DataFrame, test: DataFrame, share: float = 0.8) -> DataFrame:
+    """Drop sparse columns, impute, encode, scale, reduce to ``share`` of the variance, fit; predictions for every row of ``test``.
+
+    Modes, medians, codes, scales, components and weights all come from ``train``.
+    """
     kept = drop_sparse(train)
-    texts = [c for c in kept.columns if c in ("state", "product", "channel", "timely")]
-    ready = prepare_complaints(impute_mode(kept, texts))
+    common = modes(kept, [c for c in kept.columns if c in ("state", "product", "channel", "timely")])
+    ready = prepare_complaints(fill(kept, common))
     cats = [c for c in CATEGORIES if c in ready.columns]
     stages = [StringIndexer(inputCol=c, outputCol=f"{c}_ix", handleInvalid="keep", stringOrderType="alphabetAsc") for c in cats]
-    stages += [OneHotEncoder(inputCols=[f"{c}_ix" for c in cats], outputCols=[f"{c}_vec" for c in cats]), VectorAssembler(inputCols=[*[f"{c}_vec" for c in cats], "days_held"], outputCol="raw", handleInvalid="skip")]
-    stages += [StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), PCA(k=8, inputCol="scaled", outputCol="features"), LogisticRegression(labelCol="label", featuresCol="features", maxIter=20)]
-    model = Pipeline(stages=stages).fit(ready)
-    made = model.transform(prepare_complaints(impute_mode(test.select(*[c for c in kept.columns if c in test.columns]), [c for c in texts if c in test.columns])))
-    return made.drop("raw", "scaled", "features", "rawPrediction", "probability", *[f"{c}_ix" for c in cats], *[f"{c}_vec" for c in cats])
+    stages += [OneHotEncoder(inputCols=[f"{c}_ix" for c in cats], outputCols=[f"{c}_vec" for c in cats]), Imputer(inputCols=["days_held"], outputCols=["days_filled"], strategy="median")]
+    stages += [VectorAssembler(inputCols=[*[f"{c}_vec" for c in cats], "days_filled"], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True)]
+    encoded = Pipeline(stages=stages).fit(ready)
+    vectors = encoded.transform(ready)
+    width = len(vectors.select("scaled").first().scaled) if not vectors.isEmpty() else 1
+    explained = np.cumsum(PCA(k=width, inputCol="scaled", outputCol="features").fit(vectors).explainedVariance.toArray())
+    k = min(width, int(np.searchsorted(explained, share)) + 1)
+    model = Pipeline(stages=[PCA(k=k, inputCol="scaled", outputCol="features"), LogisticRegression(labelCol="label", featuresCol="features", maxIter=20)]).fit(vectors)
+    asked = prepare_complaints(fill(test.select(*[c for c in kept.columns if c in test.columns]), common))
+    made = model.transform(encoded.transform(asked))
+    return made.drop("raw", "scaled", "features", "rawPrediction", "probability", "days_filled", *[f"{c}_ix" for c in cats], *[f"{c}_vec" for c in cats])

@@ -115,15 +115,17 @@ add("model_adaboost", _classifier("adaboost", rounds=5))
 
 
 def _text_model(v: Views) -> DataFrame:
-    """Long TF-IDF, hashed into vectors, then a linear max-margin classifier."""
-    from pyspark.ml.functions import array_to_vector
-
-    w = X.tfidf(v.news.where("text is not null"), "id", "text", 0.7).withColumn("slot", F.pmod(F.xxhash64("token"), F.lit(256)).cast("int")).groupBy("id", "slot").agg(F.sum("weight").alias("w"))
-    wide = w.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "w"))).alias("m"))
-    rows = wide.select("id", array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))).alias("features")).join(v.news.select("id", F.col("label").cast("double").alias("label")), "id")
-    parts = X.split(rows, "id", {"train": 80, "test": 20})
-    model = M.fit_model("svm", parts.where("part = 'train'"), maxIter=10)
-    return rounded(E.binary_scores(model.transform(parts.where("part = 'test'")), "label", "prediction"), 3)
+    """TF-IDF over the whole vocabulary of the training rows, then a linear max-margin classifier; scores of the test rows."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer
+
+    news = v.news.where("text is not null").select("id", "text", F.col("label").cast("double").alias("label"))
+    parts = X.split(news, "id", {"train": 80, "test": 20})
+    train = parts.where("part = 'train'")
+    words = [RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\W+"), CountVectorizer(inputCol="words", outputCol="counts", maxDF=0.7), IDF(inputCol="counts", outputCol="features")]
+    features = Pipeline(stages=words).fit(train)
+    model = M.fit_model("svm", features.transform(train), maxIter=10)
+    return rounded(E.binary_scores(model.transform(features.transform(parts.where("part = 'test'"))), "label", "prediction"), 3)
 
 
 add("model_linear_text", _text_model)

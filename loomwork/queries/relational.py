@@ -13,7 +13,7 @@ from loomwork.queries.registry import add, rounded
 
 # --- joins
 add("join_inner", lambda v: rounded(v.ratings.join(v.movies, "movieId").select("userId", "movieId", "title", "rating")), sql("movies ratings", f"SELECT userId, movieId, title, {r('rating', 6)} AS rating FROM ratings JOIN movies USING (movieId)"))
-add("join_left", lambda v: v.ratings.select("userId", "movieId").join(v.movies.where("movieId % 3 = 0").select("movieId", "title"), "movieId", "left"), sql("movies ratings", "SELECT movieId, userId, title FROM ratings LEFT JOIN (SELECT movieId, title FROM movies WHERE movieId % 3 = 0) USING (movieId)"))
+add("join_left", lambda v: v.movies.select("movieId", "title").join(v.ratings.select("userId", "movieId"), "movieId", "left"), sql("movies ratings", "SELECT movieId, title, userId FROM movies LEFT JOIN ratings USING (movieId)"))
 add("join_semi_in_list", lambda v: J.semi_in(v.movies, v.ratings.where("rating >= 4.5").select("movieId"), "movieId").select("movieId", "title"), sql("movies ratings", "SELECT movieId, title FROM movies WHERE movieId IN (SELECT movieId FROM ratings WHERE rating >= 4.5)"))
 add("join_lookup", lambda v: J.lookup(v.trips.select("trip_id", F.col("pickup_zone").alias("n_nationkey")), v.table("nation"), "n_nationkey", ["n_name"]), sql("trips", "SELECT trip_id, pickup_zone AS n_nationkey, n_name FROM trips LEFT JOIN nation ON pickup_zone = n_nationkey"))
 add("join_orders_returns", lambda v: rounded(J.with_returns(v.orders, v.returns, "order_id").groupBy("returned").agg(F.count("*").alias("n"), F.sum("sales").alias("sales")), 2),
@@ -71,7 +71,7 @@ add("agg_topn_counts", lambda v: A.value_counts(v.complaints, "state", 10, F.col
 add("agg_yearly_counts", lambda v: v.complaints.groupBy(F.year("received").alias("year")).agg(F.count("*").alias("n"), F.count_if(F.col("disputed") == "Yes").alias("disputes")), sql("complaints", "SELECT CAST(year(received) AS INTEGER) AS year, count(*) AS n, count(*) FILTER (WHERE disputed = 'Yes') AS disputes FROM complaints GROUP BY 1"))
 add("agg_distinct_count", lambda v: A.distinct_count(v.ratings, "userId"), sql("ratings", "SELECT count(DISTINCT userId) AS n FROM ratings"))
 add("agg_distinct_array_values", lambda v: A.array_values(v.movies, "genres_list"), sql("movies", "SELECT DISTINCT unnest(genres_list) AS value FROM movies"))
-add("agg_mean_by_array_value", lambda v: rounded(A.mean_by_array_value(v.movies.join(v.ratings.where("movieId % 5 <> 0"), "movieId", "left"), "genres_list", "rating")), sql("movies ratings", f"SELECT value, {r('avg(rating)', 6)} AS mean FROM (SELECT movieId, unnest(list_distinct(genres_list)) AS value FROM movies) LEFT JOIN (SELECT * FROM ratings WHERE movieId % 5 <> 0) USING (movieId) GROUP BY 1"))
+add("agg_mean_by_array_value", lambda v: rounded(A.mean_by_array_value(v.movies.join(v.ratings, "movieId", "left"), "genres_list", "rating")), sql("movies ratings", f"SELECT value, {r('avg(rating)', 6)} AS mean FROM (SELECT movieId, unnest(list_distinct(genres_list)) AS value FROM movies) LEFT JOIN ratings USING (movieId) GROUP BY 1"))
 _TOP = "FROM ratings JOIN movies USING (movieId) GROUP BY 1 ORDER BY measure DESC, 1 LIMIT 20"
 _rated = lambda v: v.ratings.join(v.movies, "movieId")
 add("agg_sum_topn", lambda v: A.top_by(_rated(v), "title", F.round(F.sum("rating"), 6), 20), sql("movies ratings", f"SELECT title, {r('sum(rating)', 6)} AS measure {_TOP}"))

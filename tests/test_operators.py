@@ -56,6 +56,27 @@ def test_keep_positive_and_between(spark):
     assert C.time_range(df, "t", "2024-01-01", "2024-01-31").count() == 0
 
 
+def test_impute_mode_compares_numbers(spark):
+    df = spark.createDataFrame([(9, "b"), (9, "b"), (10, "a"), (10, "a"), (None, None)], "n int, s string")
+    assert [(r.n, r.s) for r in C.impute_mode(df, ["n", "s"]).collect()][-1] == (9, "a")
+
+
+def test_complaints_use_training_modes_only(spark):
+    import datetime as dt
+
+    from loomwork.plans.pipelines import complaints_pipeline
+
+    day = dt.date(2020, 3, 2)
+    row = lambda i, product, state: (i, product, "Web", state, "Yes" if i % 3 else "No", day, day + dt.timedelta(days=i % 4), "Yes" if product == "loan" else "No")
+    schema = "id long, product string, channel string, state string, timely string, received date, sent date, disputed string"
+    train = spark.createDataFrame([row(i, "loan" if i % 4 else "card", "CA") for i in range(60)], schema)
+    rows = [row(i, "card", "NY") for i in range(9)] + [(9, None, None, None, None, day, None, "No"), (10, "other", "Mail", "NY", "Yes", None, None, "No")]
+    got = {r.id: r for r in complaints_pipeline(train, spark.createDataFrame(rows, schema)).collect()}
+    assert len(got) == 11 and all(r.prediction in (0.0, 1.0) for r in got.values())  # no row is lost
+    assert (got[9].product, got[9].state) == ("loan", "CA")  # not the test rows' own modes
+    assert got[0].prediction == 0.0 and got[9].prediction == 1.0
+
+
 def test_impute_mode_tie_and_numbers(spark):
     df = frame(spark, "a string, b int, c string", ("y", 1, None), ("x", 2, None), (None, None, None), ("x", 2, None), ("y", 1, None))
     out = C.impute_mode(df, ["a", "b", "c"]).collect()
