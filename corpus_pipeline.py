@@ -3,6 +3,12 @@
 toxicity rejects documents, language ID rejects documents of no known language, line dedup deletes
 later repeated runs (documents left without text go), the n-gram Jaccard join keeps one document of
 each group, and packing fills the windows.
+
+Every stage takes any number of rows, none included, texts of any length, and columns of any name besides
+those it reads.  Verdicts are per key: rows that repeat a key share a verdict, the worst of theirs, so of
+repeated rows all stay or all go, and rows with a null key stay.  Null or empty text is not toxic, is of
+no language (it goes there), and a line dedup that leaves no line removes the document.  A column of the
+caller named like one that line dedup adds (n_lines, n_removed, removed) is replaced there.
 """
 
 from __future__ import annotations
