@@ -216,6 +216,15 @@ def test_model_probabilities_sum_to_one():
     assert abs((10 ** m.log10(every, np.full(maxent.HEAD, 7), np.full(maxent.HEAD, 9))).sum() - 1) < 1e-3
 
 
+@pytest.mark.parametrize("n", [5, 60, 4000])
+def test_row_sums(n):
+    rng = np.random.default_rng(n)
+    p, r = rng.random((300, 4)), rng.integers(0, n, 300)
+    g, own = maxent.row_sums(p, r)
+    assert own.tolist() == sorted(set(r.tolist()))
+    assert np.allclose(g, [p[r == x].sum(axis=0) for x in own])
+
+
 # --- 6
 def test_line_dedup(spark):
     long = " ".join(f"word{i}" for i in range(60))
