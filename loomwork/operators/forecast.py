@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .series import number
+
 
 def _holt_winters(x: np.ndarray, a: float, b: float, g: float, season: int) -> tuple[np.ndarray, float, float, np.ndarray]:
     """One-step errors and the last level, trend and seasonal terms, additive."""
@@ -54,7 +56,7 @@ def forecast(df: DataFrame, by: str, month: str, value: str, horizon: int = 12,
 
 def chunk_score(df: DataFrame, by: str, order: str, x: str, xhat: str, size: int = 10, t: float = 0.00074) -> DataFrame:
     """(by, chunk, n, score, alert): root of the squared error sum over the number of values, of whole chunks of ``size`` rows."""
-    placed = df.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / size))
+    placed = number(df, by, order).withColumn("chunk", F.floor((F.col("rn") - 1) / size))
     e = F.col(x) - F.col(xhat)
     scored = placed.groupBy(by, "chunk").agg(F.count("*").alias("n"), (F.sqrt(F.sum(e * e)) / F.count("*")).alias("score")).where(F.col("n") == size)
     return scored.withColumn("alert", F.col("score") > t)

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import ewma, number
+
 
 def moving_avg(df: DataFrame, by: str, order: str, col: str, n: int = 30) -> DataFrame:
     """Mean of ``n`` rows ending here; null until there are as many, and while one is null."""
@@ -81,45 +83,38 @@ def yoy(df: DataFrame, entity: str, year: str, month: str, measure: str) -> Data
     return df.withColumn("yoy", 100.0 * (F.col(measure) / F.nullif(before, F.lit(0.0)) - 1))
 
 
-def ewma(df: DataFrame, by: str, order: str, col: str, alpha: float) -> DataFrame:
-    """s0 = x0, s = (1 - alpha) s + alpha x, per series in order; rows with a null value keep the last s.
-
-    Each series is one group of ``applyInPandas``; a series must fit a task.
-    """
-    schema = df.schema.simpleString()[7:-1] + ", ewma: double"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        pdf["ewma"] = pdf[col].astype(float).ewm(alpha=alpha, adjust=False, ignore_na=True).mean()
-        return pdf
-
-    return df.groupBy(by).applyInPandas(fold, schema)
-
-
 def background_diff(df: DataFrame, by: str, order: str, col: str, warm: int = 60, alpha: float = 0.5, t: float = 25.0) -> DataFrame:
     """Background = EWMA at the last of the first ``warm`` rows; later rows are flagged when farther than ``t`` from it."""
-    place = df.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+    place = number(df, by, order)
     first = ewma(place.where(F.col("rn") <= warm).select(by, order, col), by, order, col, alpha)
     background = first.groupBy(by).agg(F.max_by("ewma", order).alias("background"))
     return place.where(F.col("rn") > warm).join(background, by).withColumn("moved", F.abs(F.col(col) - F.col("background")) > t).drop("rn")
 
 
 def drop_far_from_mean(df: DataFrame, by: str, col: str, t: float = 0.2) -> DataFrame:
-    """Per group: while some value is farther than ``t`` from the mean, drop the farthest (the first on a tie)."""
+    """Per group: while some value is farther than ``t`` from the mean, drop the farthest (the smaller on a tie).
+
+    Dropping a value moves the mean away from its equals, so they go with it: what stays is a range of
+    values.  Tasks hold one row for each distinct value of a group; rows themselves only meet the ranges.
+    Nulls and NaN go.
+    """
+    kind = df.schema[by].dataType.simpleString()
+    counts = df.select(F.col(by).alias("_k"), F.col(col).cast("double").alias("_x")).where("_x IS NOT NULL AND NOT isnan(_x)").groupBy("_k", "_x").agg(F.count("*").alias("_n"))
 
     def trim(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf[col].notna()].sort_values(col, kind="stable")
-        x, a, b = pdf[col].to_numpy(float), 0, len(pdf)
-        total = x.sum()
-        while b > a:  # the farthest is always at an end of the sorted values
-            mean = total / (b - a)
-            lo, hi = mean - x[a], x[b - 1] - mean
+        pdf = pdf.sort_values("_x")
+        x, n, a, b = pdf["_x"].to_numpy(), pdf["_n"].to_numpy(), 0, len(pdf) - 1
+        total, rows = float(x @ n), int(n.sum())
+        while a < b:  # the farthest is always at an end of the sorted values
+            mean = total / rows
+            lo, hi = mean - x[a], x[b] - mean
             if max(lo, hi) <= t:
                 break
-            if lo >= hi:
-                total, a = total - x[a], a + 1
-            else:
-                total, b = total - x[b - 1], b - 1
-        return pdf.iloc[a:b]
-
-    return df.groupBy(by).applyInPandas(trim, df.schema)
+            out = a if lo >= hi else b
+            total, rows = total - x[out] * n[out], rows - int(n[out])
+            a, b = (a + 1, b) if out == a else (a, b - 1)
+        return pd.DataFrame({"_k": pdf["_k"].iloc[:1].to_numpy(), "_lo": x[a : a + 1], "_hi": x[b : b + 1]})
+
+    ranges = counts.groupBy("_k").applyInPandas(trim, f"_k {kind}, _lo double, _hi double")
+    inside = F.col(by).eqNullSafe(F.col("_k")) & F.col(col).cast("double").between(F.col("_lo"), F.col("_hi"))
+    return df.join(ranges, inside).select(*df.columns)

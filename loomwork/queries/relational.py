@@ -115,7 +115,9 @@ add("win_yoy", lambda v: rounded(W.yoy(v.orders.groupBy("country", F.year("order
 add("win_ewma", lambda v: rounded(W.ewma(v.frames, "key", "ts", "x", 0.2).select("event_id", "ewma"), 5), "WITH RECURSIVE " + sql("frames", "")[5:] + f""", n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts) AS i FROM frames),
  e AS (SELECT event_id, key, i, x AS s FROM n WHERE i = 1 UNION ALL SELECT n.event_id, n.key, n.i, 0.8::DOUBLE * e.s + 0.2::DOUBLE * n.x FROM e JOIN n ON n.key = e.key AND n.i = e.i + 1)
  SELECT event_id, {r('s', 5)} AS ewma FROM e""")
-add("win_background_diff", lambda v: W.background_diff(v.frames, "key", "ts", "x").groupBy("key").agg(F.count("*").alias("n"), F.count_if("moved").alias("moved")))
+add("win_background_diff", lambda v: W.background_diff(v.frames, "key", "ts", "x").select("event_id", "key", "moved"), "WITH RECURSIVE " + sql("frames", "")[5:] + """, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts) AS i FROM frames),
+ e AS (SELECT key, i, x AS s FROM n WHERE i = 1 UNION ALL SELECT n.key, n.i, 0.5::DOUBLE * e.s + 0.5::DOUBLE * n.x FROM e JOIN n ON n.key = e.key AND n.i = e.i + 1 WHERE n.i <= 60)
+ SELECT event_id, n.key, abs(x - s) > 25 AS moved FROM n JOIN (SELECT key, arg_max(s, i) AS s FROM e GROUP BY 1) b ON n.key = b.key WHERE n.i > 60""")
 add("win_iterative_outliers", lambda v: rounded(W.drop_far_from_mean(v.trips.select("trip_id", "pickup_zone", (F.col("k") / 100).alias("x")), "pickup_zone", "x").groupBy("pickup_zone").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))))
 add("ord_sort", lambda v: v.stock.select("ticker", "date", "close").orderBy("ticker", "date"), sql("stock", "SELECT ticker, date, close FROM stock"))
 add("ord_top_k", lambda v: v.table("orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")

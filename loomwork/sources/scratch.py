@@ -11,9 +11,11 @@ _own: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a local folder only where a session names none."""
+    """A new path below ``spark.checkpoint.dir``; a local folder only where a local session names none."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="spark-loomwork-", dir="/tmp"))
         base = _own[0]

@@ -18,6 +18,7 @@ from loomwork.operators import joins as J
 from loomwork.operators import quality as Q
 from loomwork.operators import recommend as R
 from loomwork.operators import reshape as RS
+from loomwork.operators import series as SE
 from loomwork.operators import windows as W
 from loomwork.plans import pipelines as P
 from loomwork.sources import tables as T
@@ -182,6 +183,38 @@ def test_ewma_and_trim(spark):
     assert sorted(values(W.drop_far_from_mean(t, "k", "x"), "x")) == [0.0, 0.1, 0.15]
 
 
+def test_long_series_pass_their_state_between_blocks(spark):
+    rows = [(k, i, None if i % 7 == 3 or (k == "b" and i < 25) else float((i * 37) % 11)) for k in ("a", "b", None) for i in range(60)] + [("c", 1, None), ("d", 1, 4.0)]
+    df = frame(spark, "k string, i int, x double", *rows)
+    assert df.schema == SE.with_block(df, "k", "i").drop("_block").schema
+    blocks = SE.with_block(df, "k", "i", 10).groupBy("k").agg(F.countDistinct("_block").alias("n")).collect()
+    assert {r.k: r.n for r in blocks}["a"] >= 5 and {r.k: r.n for r in blocks}["d"] == 1
+    want = {}
+    for k in ("a", "b", None, "c", "d"):
+        s = None
+        for _, i, x in sorted((r for r in rows if r[0] == k), key=lambda r: r[1]):
+            s = s if x is None else x if s is None else 0.7 * s + 0.3 * x
+            want[k, i] = s
+    got = {(r.k, r.i): r.ewma for r in SE.ewma(df, "k", "i", "x", 0.3, 10).collect()}
+    assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c]) if want[c] is not None else got[c] is None for c in want)
+    numbered = SE.number(df, "k", "i", 10).collect()
+    assert len(numbered) == len(rows) and all(r.rn == r.i + (r.k not in ("c", "d")) for r in numbered)
+    assert SE.ewma(df.limit(0), "k", "i", "x", 0.3).count() == SE.number(df.limit(0), "k", "i").count() == 0
+
+
+def test_trim_equals_one_row_at_a_time(spark):
+    rows = [(k, ((i * i * 31) % 17) / 10) for k in ("a", None) for i in range(40)] + [("b", 1.0), ("b", 1.0), ("b", 3.0), ("e", None), ("e", float("nan"))]
+    got = sorted((str(r.k), r.x) for r in W.drop_far_from_mean(frame(spark, "k string, x double", *rows), "k", "x", 0.25).collect())
+    want = []
+    for k in ("a", None, "b"):
+        xs = sorted(x for g, x in rows if g == k)
+        while xs and max(sum(xs) / len(xs) - xs[0], xs[-1] - sum(xs) / len(xs)) > 0.25:
+            mean = sum(xs) / len(xs)
+            xs.pop(0 if mean - xs[0] >= xs[-1] - mean else -1)
+        want += [(str(k), x) for x in xs]
+    assert got == sorted(want)
+
+
 def test_reshape(spark):
     df = frame(spark, "r int, c string, v double", (1, "a", 2.0), (2, "b", 3.0))
     assert sorted(map(tuple, RS.pivot_dense(df, "r", "c", "v", ["a", "b"]).collect())) == [(1, 2.0, 0.0), (2, 0.0, 3.0)]
