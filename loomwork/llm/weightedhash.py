@@ -21,8 +21,8 @@ RANGE_BYTES, RANGES = 32 << 20, 20_000
 
 
 def terms(text: Column) -> Column:
-    """array<struct<term: bigint, lw: double>>: distinct word hashes and the logarithm of their counts."""
-    return F.transform(F.array_remove(F.split(F.lower(text), r"\s+"), ""), lambda w: F.xxhash64(w))
+    """array<bigint>: hashes of the words, all even."""
+    return F.transform(F.array_remove(F.split(F.lower(text), r"\s+"), ""), lambda w: F.xxhash64(w).bitwiseAND(-2))
 
 
 def _runs(sorted_: Column) -> Column:
@@ -44,18 +44,32 @@ def offer(term: Column, lw: Column, i: int) -> Column:
     return F.shiftleft(((height + 128.0) * float(1 << 24)).cast("long"), 31).bitwiseOR(name)
 
 
-def _offers(d: DataFrame, keys: list[str], m: int) -> DataFrame:
-    """``keys`` with ``sig``: the lowest offers over the rows (term, lw) of each key."""
-    low = [F.min(offer(F.col("term"), F.col("lw"), i)).alias(f"s{i}") for i in range(m)]
-    sig = F.array(*[F.coalesce(F.col(f"s{i}").bitwiseAND(0xFFFF), F.lit(0)).cast("int") for i in range(m)])
-    return d.groupBy(*keys).agg(*low).select(*keys, sig.alias("sig"))
+def _lowest(d: DataFrame, keys: list[str], m: int) -> DataFrame:
+    """``keys`` with ``s0``, ``s1``, ...: the lowest offers over the rows (term, lw) of each key."""
+    return d.groupBy(*keys).agg(*[F.min(offer(F.col("term"), F.col("lw"), i)).alias(f"s{i}") for i in range(m)])
 
 
-def _exploded(d: DataFrame, keep: list[str], text: str) -> DataFrame:
-    words = d.select(*keep, F.sort_array(terms(F.col(text))).alias("ws"))
-    runs = words.select(*keep, "ws", _runs(F.col("ws")).alias("ends"))
-    pairs = F.transform("ends", lambda e, j: F.struct(F.get("ws", e - 1).alias("term"), F.log((e - F.when(j > 0, F.get("ends", j - 1)).otherwise(0)).cast("double")).alias("lw")))
-    return runs.select(*keep, F.explode_outer(pairs).alias("p")).select(*keep, "p.term", "p.lw")
+def _signature(lows: list[Column]) -> Column:
+    return F.array(*[F.coalesce(x.bitwiseAND(0xFFFF), F.lit(0)).cast("int") for x in lows])
+
+
+def _exploded(d: DataFrame, keep: list[str], words: Column) -> DataFrame:
+    """``keep`` with (term, lw, side) of each distinct word: its hash and the logarithm of its count.
+
+    ``words`` holds even hashes, those of a second text with 1 added. A word with one count in both
+    texts gives one row of side 2; all others are of side 0 or 1.
+    """
+    runs = d.select(*keep, F.sort_array(words).alias("ws")).select(*keep, "ws", _runs(F.col("ws")).alias("ends"))
+    word = lambda j: F.get("ws", F.get("ends", j) - 1)
+    count = lambda j: F.get("ends", j) - F.coalesce(F.get("ends", j - 1), F.lit(0))
+
+    def row(_, j):
+        first = word(j).bitwiseAND(1) == 0
+        twin = lambda k: (word(k).bitwiseXOR(word(j)) == 1) & (count(k) == count(j))
+        side = F.when(first, F.when(twin(j + 1), 2).otherwise(0)).otherwise(F.when(twin(j - 1), -1).otherwise(1))
+        return F.struct(word(j).bitwiseAND(-2).alias("term"), F.log(count(j).cast("double")).alias("lw"), side.alias("side"))
+
+    return runs.select(*keep, F.explode_outer(F.transform("ends", row)).alias("p")).select(*keep, "p.*").where("side IS NULL OR side >= 0")
 
 
 def text_of(sig: Column) -> Column:
@@ -69,7 +83,8 @@ def likeness(a: Column, b: Column, m: int) -> Column:
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", m: int = SAMPLES) -> DataFrame:
     """(key, fingerprint, sig) of every row."""
     row = df.select(F.monotonically_increasing_id().alias("row"), df[key].alias("k"), F.coalesce(df[text], F.lit("")).alias("t"))
-    return _offers(_exploded(row, ["row", "k"], "t"), ["row", "k"], m).select(F.col("k").alias(key), text_of(F.col("sig")).alias("fingerprint"), "sig")
+    signed = _lowest(_exploded(row, ["row", "k"], terms(F.col("t"))), ["row", "k"], m).select("k", _signature([F.col(f"s{i}") for i in range(m)]).alias("sig"))
+    return signed.select(F.col("k").alias(key), text_of(F.col("sig")).alias("fingerprint"), "sig")
 
 
 def _buckets(d: DataFrame, parts: int) -> list[int]:
@@ -96,7 +111,8 @@ def edited_likeness(df: DataFrame, key: str = "doc_id", text: str = "text", m: i
 
     The edited text ends in the beginning of the next document in ascending key order.  Keys are
     dealt into ranges of even size; the first document of a range is copied to the range before, so
-    texts are shuffled once and all else stays within a range.
+    texts are shuffled once and all else stays within a range.  Words with one count in a text and its
+    edited text make their offers once for both.
     """
     spark = df.sparkSession
     rows = df.select(df[key].alias("k"), F.coalesce(df[key].cast("long"), F.lit(-(1 << 63))).alias("o"), F.coalesce(df[text], F.lit("")).alias("t"))
@@ -115,9 +131,11 @@ def edited_likeness(df: DataFrame, key: str = "doc_id", text: str = "text", m: i
     edited = F.concat(F.substring(F.col("t"), F.lit(1), F.length("t") - half), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half))
     texts = placed.select("b", "rn", "k", "x", "t", edited.alias("e"))
     keep = ["b", "rn", "k", "x", "n_chars", "sha"]
-    sides = texts.select("b", "rn", "k", "x", F.length("t").cast("long").alias("n_chars"), F.sha2(F.col("e"), 256).alias("sha"), F.explode(F.when(F.col("x") == 0, F.array(F.struct(F.lit(0).alias("s"), F.col("t").alias("t")), F.struct(F.lit(1).alias("s"), F.col("e").alias("t")))).otherwise(F.array(F.struct(F.lit(0).alias("s"), F.col("t").alias("t"))))).alias("p"))
-    sides = sides.select(*keep, "p.s", "p.t")
-    signed = _offers(_exploded(sides, [*keep, "s"], "t"), [*keep, "s"], m)
-    both = signed.groupBy(*keep).agg(F.max(F.when(F.col("s") == 0, F.col("sig"))).alias("own"), F.max(F.when(F.col("s") == 1, F.col("sig"))).alias("edit"))
+    sides = texts.select("b", "rn", "k", "x", F.length("t").cast("long").alias("n_chars"), F.sha2(F.col("e"), 256).alias("sha"), "t", "e")
+    added = F.when(F.col("x") == 0, F.transform(terms(F.col("e")), lambda w: w.bitwiseOR(1))).otherwise(F.array().cast("array<bigint>"))
+    lows = _lowest(_exploded(sides, keep, F.concat(terms(F.col("t")), added)), [*keep, "side"], m)
+    of = lambda other, i: F.min(F.when(F.col("side") != other, F.col(f"s{i}")))
+    signed = lows.groupBy(*keep).agg(*[of(1, i).alias(f"own{i}") for i in range(m)], *[of(0, i).alias(f"edit{i}") for i in range(m)])
+    both = signed.select(*keep, _signature([F.col(f"own{i}") for i in range(m)]).alias("own"), _signature([F.col(f"edit{i}") for i in range(m)]).alias("edit"))
     ahead = both.withColumn("after", F.lead("own").over(Window.partitionBy("b").orderBy("rn"))).where("x = 0")
     return ahead.select(F.col("k").alias(key), "n_chars", F.col("sha").alias("edited_sha256"), text_of(F.col("own")).alias("fingerprint"), text_of(F.col("edit")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edit"), m).alias("near_edited"), likeness(F.col("own"), F.col("after"), m).alias("near_next"))
