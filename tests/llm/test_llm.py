@@ -238,6 +238,51 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
+def brute_line_dedup(rows, run=3, long_words=20):
+    """{key: numbers of deleted lines}, one place after the other."""
+    split = {k: [x for x in (y.strip(" ") for y in (t or "").split("\n")) if x] for k, t in rows}
+    seen, gone = set(), collections.defaultdict(set)
+    for k in sorted(split):
+        lines = split[k]
+        for i in range(len(lines)):
+            for n in [run] * (i + run <= len(lines)) + [1] * (len(lines[i].split(" ")) >= long_words):
+                if (key := tuple(lines[i : i + n])) in seen:
+                    gone[k] |= set(range(i + 1, i + n + 1))
+                seen.add(key)
+    return {k: sorted(gone[k]) for k in split}
+
+
+def test_line_dedup_of_numbered_indented_and_split_runs(spark):
+    rows = [
+        (1, "ak\nht item 1\nht item 2"), (2, "zz\nal\nht item 2\nht item 3"),  # no run of three: nothing goes
+        (3, "v 1\nv 2\nv 3\nv 4\nv 5"), (4, "  v 1\n\tv 2\n v 2 \n  v 3\n v 4"), (5, "v 1\nv 2\nv 3\nv 4\nv 5"),
+        (6, "m\nk 2\nk 3\nk 4\nn"), (7, "o\nk 4\nk 5\nk 6\np"), (8, "k 2\nk 3\nk 4\nk 5\nk 6"),  # the run's halves come from two documents
+        (9, "r\nr\nr\nr\nr\nr"), (10, "10\n11\n12"), (11, " 10 \n 11\n12 "), (12, "a\nb"), (13, "a\nb"),
+    ]
+    got = {r.doc_id: r.removed for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_line_dedup(rows)
+    assert got[1] == got[2] == []
+    assert got[5] == [1, 2, 3, 4, 5] and got[8] == [1, 2, 3, 4, 5] and got[9] == [2, 3, 4, 5, 6] and got[11] == [1, 2, 3] and got[13] == []
+
+
+@pytest.mark.parametrize("window", [2, 4])
+def test_line_dedup_equals_brute_force(spark, docs, window):
+    rng = random.Random(window)
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(10_000 + i, "\n".join(rng.choice("abc") * rng.randint(1, 2) for _ in range(rng.randint(0, 30)))) for i in range(60)] + [(20_000, "\n".join(f"line {i % 997}" for i in range(20_000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in linededup.dedup_lines(df, window=window).collect()} == brute_line_dedup(rows, window + 1)
+
+
+def test_line_dedup_equals_its_sql(spark, docs):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet' union all select 900000 + i, '  item ' || i || chr(10) || ' item ' || (i + 1) || chr(10) || 'item ' || (i + 2), 'en', 's', 9 from range(20) t(i) union all select 900100 + i, 'item ' || i || chr(10) || 'item ' || (i + 1) || chr(10) || '   item ' || (i + 2), 'en', 's', 9 from range(20) t(i)")
+    df = spark.createDataFrame(con.sql("select doc_id, text from documents").fetchall(), "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_lines, r.n_removed, r.m) for r in linededup.dedup_lines(df).select("doc_id", "n_lines", "n_removed", F.md5("text").alias("m")).collect())
+    assert got == sorted(con.sql(linededup.ORACLE).fetchall())
+
+
 def test_line_dedup_keeps_first_lines(spark, docs):
     before = {x.strip(" ") for r in docs.collect() for x in r.text.split("\n")}
     after = {x.strip(" ") for r in linededup.dedup_lines(docs).collect() for x in r.text.split("\n")}
