@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, divergence, eliasfano, imagematch, jaccard, langid, linededup, maxent, packing, rankedsearch, toxicity, weightedhash
+from loomwork.llm import annsearch, bpe, divergence, eliasfano, imagematch, jaccard, langid, linededup, maxent, packing, rankedsearch, toxicity, weightedhash
 from loomwork.llm.common import fold, held_out, read, shared_folder, written
 
 
@@ -74,9 +74,13 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rankedsearch.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annsearch.near_rows(read(spark, sf_dir, "embeddings"), lambda key: key % 100 == 0)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_weighted_sampling, op2_language_id, op3_image_copies, op4_bpe_round_trip, op5_maxent_score, op6_line_dedup, op7_bm25_packing, op8_ngram_jaccard, op9_toxicity, op10_elias_fano, op11_ranked_search, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_weighted_sampling, op2_language_id, op3_image_copies, op4_bpe_round_trip, op5_maxent_score, op6_line_dedup, op7_bm25_packing, op8_ngram_jaccard, op9_toxicity, op10_elias_fano, op11_ranked_search, op12_nn_descent, op13_source_divergence)}
 ORACLES: dict[str, str] = {"op6_line_dedup": linededup.ORACLE, "op11_ranked_search": rankedsearch.ORACLE, "op13_source_divergence": divergence.ORACLE}
