@@ -6,9 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .series import ROWS, numbered, placed
+
 
 @dataclass
 class LabelEncoder:
@@ -21,10 +23,11 @@ class LabelEncoder:
         return df.join(self.table, self.col, "left")
 
 
-def fit_label_encode(df: DataFrame, col: str) -> LabelEncoder:
-    """Ranks over the distinct values only."""
+def fit_label_encode(df: DataFrame, col: str, rows: int = ROWS) -> LabelEncoder:
+    """Codes are places among the distinct values, from range partitions and their sizes."""
     values = df.where(F.col(col).isNotNull()).select(col).distinct()
-    return LabelEncoder(values.withColumn(f"{col}_code", F.dense_rank().over(Window.orderBy(col)) - 1), col)
+    table = numbered(placed(values, [], [col], rows), [])
+    return LabelEncoder(table.select(col, (F.col("rn") - 1).cast("int").alias(f"{col}_code")), col)
 
 
 @dataclass
