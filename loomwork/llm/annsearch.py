@@ -32,13 +32,20 @@ from loomwork.llm.common import release, written
 NEIGHBOURS, SAMPLE = 30, 12
 #: Nodes of a block of the first lists, and lines that they are laid along.
 BLOCK, LINES = 512, 3
-ROUNDS, STILL = 8, 0.01
+ROUNDS, STILL = 8, 0.05
 #: Nodes that a query holds, and expands in a round.
 BEAM, STEP = 256, 64
+#: Nodes of a task: when lists merge, and when members meet with their vectors; and rows of a task that measures.
+MERGED, MET, MEASURED = 4096, 1024, 50_000
 #: Entries that a task gathers before it keeps the best of each node.
 HELD = 1 << 21
 
 
+def _tasks(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """``df`` in as many tasks as its ``rows`` need, where the shuffle made more."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 # --- rows and vectors
 def _bytes(double: bool):
     kind = np.float64 if double else np.float32
@@ -159,7 +166,7 @@ def _block_lists(k: int, double: bool):
     return run
 
 
-def _merged(lists: DataFrame, k: int) -> DataFrame:
+def _merged(lists: DataFrame, k: int, n: int) -> DataFrame:
     """Lists of the same node as one."""
 
     def run(batches):
@@ -172,10 +179,10 @@ def _merged(lists: DataFrame, k: int) -> DataFrame:
             flat = [x.flatten().to_numpy(zero_copy_only=False) for x in (w, inner.field("d"), inner.field("fresh"))]
             yield _lists(*_best_of(np.repeat(owner, size), *flat, k))
 
-    return lists.groupBy("u").agg(F.collect_list(F.struct("w", "d", "fresh")).alias("l")).mapInArrow(run, _LISTS)
+    return _tasks(lists.groupBy("u").agg(F.collect_list(F.struct("w", "d", "fresh")).alias("l")), n, MERGED).mapInArrow(run, _LISTS)
 
 
-def _first_lists(nodes: DataFrame, k: int, double: bool, seed: int) -> DataFrame:
+def _first_lists(nodes: DataFrame, n: int, k: int, double: bool, seed: int) -> DataFrame:
     def along(line: int):
         def run(batches):
             for b in batches:
@@ -184,19 +191,19 @@ def _first_lists(nodes: DataFrame, k: int, double: bool, seed: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at)], ["id", "v", "at"])
 
         laid = nodes.mapInArrow(run, "id long, v binary, at double").repartitionByRange("at", "id").sortWithinPartitions("at", "id")
-        return laid.select("id", "v").mapInArrow(_block_lists(k, double), _LISTS)
+        return _tasks(laid.select("id", "v"), n, MERGED).mapInArrow(_block_lists(k, double), _LISTS)
 
     lists = along(0)
     for line in range(1, LINES):
         lists = lists.unionByName(along(line))
-    return _merged(lists, k)
+    return _merged(lists, k, n)
 
 
 def _draw(a: Column | str, b: Column | str, turn: int) -> Column:
     return F.xxhash64(F.lit(turn), a, b)
 
 
-def _descend(nodes: DataFrame, graph: DataFrame, k: int, double: bool, turn: int) -> DataFrame:
+def _descend(nodes: DataFrame, n: int, graph: DataFrame, k: int, double: bool, turn: int) -> DataFrame:
     """One round: samples of both directions meet at a node, improving pairs are merged into the lists."""
     entry = lambda x: F.struct(x["fresh"].alias("fresh"), _draw("u", x["w"], turn).alias("o"), x["w"].alias("w"), x["d"].alias("d"))
     drawn = graph.select("u", F.array_sort(F.transform(F.arrays_zip("w", "d", "fresh"), entry)).alias("l"), F.element_at("d", -1).alias("far"), F.size("w").alias("n"))
@@ -229,17 +236,18 @@ def _descend(nodes: DataFrame, graph: DataFrame, k: int, double: bool, turn: int
                 held.add(u[good], w[good], d[good], np.ones(int(good.sum()), bool))
         yield from held.batches()
 
-    found = met.mapInArrow(local, _LISTS)
+    found = _tasks(met, n, MET).mapInArrow(local, _LISTS)
     taken = lambda x: x["fresh"] & ~F.exists("_new", lambda y: y["w"] == x["w"])
     old = drawn.withColumn("_new", part(True)).select("u", F.transform("l", lambda x: x["w"]).alias("w"), F.transform("l", lambda x: x["d"]).alias("d"), F.transform("l", taken).alias("fresh"))
-    return _merged(old.unionByName(found), k)
+    return _merged(old.unionByName(found), k, n)
 
 
 def neighbour_graph(nodes: DataFrame, double: bool, k: int = NEIGHBOURS, rounds: int = ROUNDS, seed: int = 7) -> DataFrame:
     """(u, w, d, fresh): the ``k`` nearest found of each of ``nodes(id, v)``, nearest first; ``nodes`` is a written table."""
-    graph = written(_first_lists(nodes, k, double, seed), "graph")
+    n = nodes.count()
+    graph = written(_first_lists(nodes, n, k, double, seed), "graph")
     for turn in range(rounds):
-        after = written(_descend(nodes, graph, k, double, turn), "graph")
+        after = written(_descend(nodes, n, graph, k, double, turn), "graph")
         release(graph)
         graph = after
         fresh = graph.agg(F.avg(F.size(F.filter("fresh", lambda x: x)) / F.size("fresh"))).first()[0]  # one number
@@ -249,7 +257,7 @@ def neighbour_graph(nodes: DataFrame, double: bool, k: int = NEIGHBOURS, rounds:
 
 
 # --- search
-def _beams(states: DataFrame, beam: int) -> DataFrame:
+def _beams(states: DataFrame, beam: int, n: int) -> DataFrame:
     """(query, node, d, done) rows of a query as its beam of the nearest."""
 
     def run(batches):
@@ -263,10 +271,10 @@ def _beams(states: DataFrame, beam: int) -> DataFrame:
             lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (node, d, ~todo)]
             yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["query", "node", "d", "done"])
 
-    return states.groupBy("query").agg(F.collect_list(F.struct("node", "d", "done")).alias("l")).mapInArrow(run, "query long, node array<long>, d array<double>, done array<boolean>")
+    return _tasks(states.groupBy("query").agg(F.collect_list(F.struct("node", "d", "done")).alias("l")), n * beam, MEASURED).mapInArrow(run, "query long, node array<long>, d array<double>, done array<boolean>")
 
 
-def _measured(asked: DataFrame, nodes: DataFrame, double: bool) -> DataFrame:
+def _measured(asked: DataFrame, nodes: DataFrame, double: bool, rows: int) -> DataFrame:
     """(query, node, d) of ``asked(query, node, qv, far)``, where nearer than far."""
 
     def run(batches):
@@ -277,23 +285,24 @@ def _measured(asked: DataFrame, nodes: DataFrame, double: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good), pa.array(d).filter(good)], ["query", "node", "d"])
 
     both = asked.join(nodes.withColumnRenamed("id", "node"), "node").select("query", "node", "qv", "far", "v")
-    return both.mapInArrow(run, "query long, node long, d double")
+    return _tasks(both, rows, MEASURED).mapInArrow(run, "query long, node long, d double")
 
 
 def walk(nodes: DataFrame, graph: DataFrame, queries: DataFrame, seeds: DataFrame, double: bool, beam: int = BEAM, step: int = STEP) -> DataFrame:
     """(query, node, d, done): the ``beam`` nearest nodes that a greedy walk from ``seeds(query, node)`` finds for ``queries(query, qv)``."""
+    n = queries.count()
     links = graph.select(F.col("u").alias("node"), F.col("w").alias("next"))
-    start = _measured(seeds.join(queries, "query").select("query", "node", "qv", F.lit(float("inf")).alias("far")), nodes, double)
-    state = written(_beams(start.withColumn("done", F.lit(False)), beam), "beam")
+    start = _measured(seeds.join(queries, "query").select("query", "node", "qv", F.lit(float("inf")).alias("far")), nodes, double, n * step)
+    state = written(_beams(start.withColumn("done", F.lit(False)), beam, n), "beam")
     while True:  # each round expands nodes that no round before did
         pairs = state.select("query", F.arrays_zip("node", "d", "done").alias("l"), F.when(F.size("d") >= beam, F.element_at("d", -1)).otherwise(float("inf")).alias("far"))
         todo = pairs.withColumn("go", F.slice(F.filter("l", lambda x: ~x["done"]), 1, step))
         if todo.where(F.size("go") > 0).isEmpty():
             return state
         asked = todo.select("query", "far", F.explode("go.node").alias("node")).join(links, "node").select("query", "far", F.explode("next").alias("node")).distinct()
-        found = _measured(asked.join(queries, "query").select("query", "node", "qv", "far"), nodes, double).withColumn("done", F.lit(False))
+        found = _measured(asked.join(queries, "query").select("query", "node", "qv", "far"), nodes, double, n * step * NEIGHBOURS).withColumn("done", F.lit(False))
         held = todo.select("query", F.explode("l").alias("x"), "go").select("query", "x.node", "x.d", (F.col("x.done") | F.array_contains("go.node", F.col("x.node"))).alias("done"))
-        after = written(_beams(held.unionByName(found), beam), "beam")
+        after = written(_beams(held.unionByName(found), beam, n), "beam")
         release(state)
         state = after
 
