@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,46 +43,123 @@ def nearest(points: DataFrame, palette: DataFrame, vector: str, name: str, order
     return points.withColumn("_b", best).withColumn("nearest", F.col("_b.n")).withColumn("distance", F.col("_b.d")).drop("_b")
 
 
-def knn(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, p: int = 2, block: int = 2048) -> DataFrame:
-    """(query, neighbour, distance, rank): the ``k`` nearest base rows of each query row but itself.
+#: Pivots of a nearest-neighbour join, and rows of a block of either side.
+PIVOTS, BASE_ROWS, QUERY_ROWS = 64, 4096, 2048
 
-    Queries are a stated set.  They go to the tasks in blocks of fixed size; each task answers with
-    its own k nearest, which a window then ranks.  Least key first on a tie.
+
+def _distances(q: np.ndarray, x: np.ndarray, p: int) -> np.ndarray:
+    """All distances of rows of ``q`` and ``x``, from differences, so equal rows are at 0."""
+    out = np.empty((len(q), len(x)))
+    for i, v in enumerate(q):
+        d = x - v
+        out[i] = np.abs(d).sum(axis=1) if p == 1 else np.sqrt((d * d).sum(axis=1))
+    return out
+
+
+def _rows(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def knn(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, p: int = 2, pivots: int = PIVOTS, base_rows: int = BASE_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """(query, neighbour, distance, rank): the ``k`` nearest base rows of each query row but itself, exactly, by L1 (``p`` 1) or L2.
+
+    Every base row goes to the nearest of a bounded set of pivots.  A query's distances to the pivots bound
+    its kth distance from above (by the rows nearest to each pivot) and each pivot's rows from below (by the
+    triangle inequality), so it visits only pivots that can hold one of its neighbours.  A pivot's rows are
+    dealt into blocks of about ``base_rows``, the queries into blocks of about ``query_rows``; a task holds
+    one pair of blocks and answers with the ``k`` nearest in it, which a window then ranks.  It is one plan
+    for any number of queries.  Least key first on a tie.  Null vectors and keys take no part; keys of
+    ``base`` are unique, and all vectors are of one length.
     """
-    ids = queries.select(key, vector).where(F.col(vector).isNotNull())
-    n = ids.count()
-    blocks = max(1, -(-n // block))
-    parts = []
-    for i in range(blocks):
-        rows = ids.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i).collect()
-        if not rows:
-            continue
-        q_ids, q = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
-
-        def run(batches, q_ids=q_ids, q=q):
-            for b in batches:
-                kept = [(a, v) for a, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if v is not None]
-                if not kept:
-                    continue
-                x_ids, x = np.array([a for a, _ in kept]), np.array([v for _, v in kept], dtype=np.float64)
-                for s in range(0, len(q), 256):
-                    own = q[s : s + 256]
-                    d = np.stack([np.abs(x - v).sum(axis=1) if p == 1 else np.sqrt(((x - v) ** 2).sum(axis=1)) for v in own])
-                    d[q_ids[s : s + 256, None] == x_ids[None, :]] = np.inf
-                    at = min(k, d.shape[1]) - 1
-                    edge = np.partition(d, at, axis=1)[:, at]
-                    r, c = np.nonzero(d <= edge[:, None])  # ties stay for the window
-                    ok = np.isfinite(d[r, c])
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[s + r[ok]]), pa.array(x_ids[c[ok]]), pa.array(d[r[ok], c[ok]])], ["query", "neighbour", "distance"])
-
-        parts.append(base.select(key, vector).mapInArrow(run, "query long, neighbour long, distance double"))
-    if not parts:
-        return base.sparkSession.createDataFrame([], "query long, neighbour long, distance double, rank int")
-    found = parts[0]
-    for x in parts[1:]:
-        found = found.unionByName(x)
+    spark = base.sparkSession
+    held = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    q, x = held(queries), held(base)
+    chosen = [r.v for r in x.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()]  # bounded by the parameter
+    if not chosen:
+        return spark.createDataFrame([], "query long, neighbour long, distance double, rank int")
+    centre = np.array(chosen, np.float64)
+
+    def assign(batches):
+        for b in batches:
+            v = _rows(b.column(1))
+            if len(v):
+                d = _distances(centre, v, p)
+                cell = d.argmin(axis=0)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int32)), pa.array(d[cell, np.arange(len(v))])], ["id", "v", "cell", "far"])
+
+    celled = x.mapInArrow(assign, "id long, v array<double>, cell int, far double")
+    near = celled.select("cell", "far", F.row_number().over(Window.partitionBy("cell").orderBy("far")).alias("r")).where(F.col("r") <= k + 1)
+    sizes = {r.cell: r for r in celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()}  # one row a pivot
+    bounds = [(r.cell, r.far) for r in near.collect()]  # k + 1 rows a pivot: the query itself may be among them
+    radius = np.array([sizes[c].radius if c in sizes else -1.0 for c in range(len(centre))])
+    blocks = np.array([-(-sizes[c].n // base_rows) if c in sizes else 0 for c in range(len(centre))])
+    of, inner = np.array([c for c, _ in bounds]), np.array([d for _, d in bounds])
+    q_blocks = max(1, -(-q.count() // query_rows))
+
+    def reach(batches):
+        for b in batches:
+            v = _rows(b.column(1))
+            if not len(v):
+                continue
+            d = _distances(centre, v, p).T
+            upper = np.sort(d[:, of] + inner[None, :], axis=1)[:, min(k + 1, len(of)) - 1] if len(of) > k else np.full(len(v), np.inf)
+            row, cell = np.nonzero((d - radius[None, :] <= (upper * (1 + 1e-9) + 1e-9)[:, None]) & (blocks > 0)[None, :])
+            times = blocks[cell]
+            row, cell = np.repeat(row, times), np.repeat(cell, times)
+            block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32))], ["id", "v", "cell", "block"])
+
+    asked = q.mapInArrow(reach, "id long, v array<double>, cell int, block int").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int"))
+    in_cell = F.element_at(F.array(*[F.lit(max(1, int(n))) for n in blocks]), F.col("cell") + 1)
+    parts = F.sequence(F.lit(0), F.lit(q_blocks - 1))
+    known = celled.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), in_cell).cast("int")).select("id", "v", "cell", "block", F.explode(parts).alias("part"))
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if len(left) and len(right):
+            q_ids, x_ids = left.column("id").to_numpy(), right.column("id").to_numpy()
+            vq, vx = _rows(left.column("v")), _rows(right.column("v"))
+            for s in range(0, len(q_ids), 256):
+                d = _distances(vq[s : s + 256], vx, p)
+                d[q_ids[s : s + 256, None] == x_ids[None, :]] = np.inf
+                at = min(k, d.shape[1]) - 1
+                r, c = np.nonzero(d <= np.partition(d, at, axis=1)[:, at][:, None])
+                r, c = r[ok := np.isfinite(d[r, c])], c[ok]
+                order = np.lexsort((x_ids[c], d[r, c], r))  # ties at the edge by key
+                r, c = r[order], c[order]
+                r, c = r[first := np.arange(len(r)) - np.searchsorted(r, r) < k], c[first]
+                found.append((q_ids[s + r], x_ids[c], d[r, c]))
+        cols = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(dict(zip(("query", "neighbour", "distance"), cols)))
+
+    keys = ["cell", "block", "part"]
+    met = asked.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInArrow(answer, "query long, neighbour long, distance double")
     w = Window.partitionBy("query").orderBy("distance", "neighbour")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _neighbour_weight(weights: str) -> Column:
+    """1 for each, or the inverse distance; if some neighbours are at distance 0, those alone count."""
+    if weights == "uniform":
+        return F.lit(1.0)
+    if weights != "distance":
+        raise ValueError("weights are uniform or distance")
+    same = F.min("distance").over(Window.partitionBy("query")) == 0  # k rows a query
+    return F.when(same, (F.col("distance") == 0).cast("double")).otherwise(1 / F.nullif("distance", F.lit(0.0)))
+
+
+def knn_classify(near: DataFrame, base: DataFrame, key: str, label: str, weights: str = "uniform") -> DataFrame:
+    """(query, predicted): the label with the greatest weight among the neighbours of ``knn``; the least label on a tie, null labels don't vote."""
+    voted = near.withColumn("w", _neighbour_weight(weights)).join(base.select(F.col(key).alias("neighbour"), F.col(label).alias("vote")), "neighbour").where("vote is not null")
+    votes = voted.groupBy("query", "vote").agg(F.sum("w").alias("w"))
+    return votes.groupBy("query").agg(F.min(F.struct((-F.round("w", 9)).alias("w"), "vote")).alias("b")).select("query", F.col("b.vote").alias("predicted"))
+
+
+def knn_regress(near: DataFrame, base: DataFrame, key: str, target: str, weights: str = "uniform") -> DataFrame:
+    """(query, predicted): the weighted mean target of the neighbours of ``knn``; null targets don't count."""
+    met = near.withColumn("w", _neighbour_weight(weights)).join(base.select(F.col(key).alias("neighbour"), F.col(target).cast("double").alias("y")), "neighbour").where("y is not null")
+    return met.groupBy("query").agg((F.sum(F.col("w") * F.col("y")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("predicted"))
 
 
 def cosine_pairs(df: DataFrame, row: str, feature: str, value: str, probe: DataFrame | None = None) -> DataFrame:
@@ -93,3 +171,78 @@ def cosine_pairs(df: DataFrame, row: str, feature: str, value: str, probe: DataF
     dots = a.join(b, "f").where("a <> b").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("dot"))
     named = dots.join(norm.toDF("a", "na"), "a").join(norm.toDF("b", "nb"), "b")
     return named.select("a", "b", (F.col("dot") / F.nullif(F.col("na") * F.col("nb"), F.lit(0.0))).alias("cosine"))
+
+
+#: A list of more rows is multiplied in blocks of ``SIMILAR_ROWS``; and features that a task multiplies at a time.
+SHORT_LIST, SIMILAR_ROWS, FEATURE_COLUMNS = 64, 1024, 2048
+
+
+def _multiplied(least: float):
+    """Arrow group task: the pairs of two blocks of a long list, given where their first common prefix feature is."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, own, i, j, key = (table.column(c).combine_chunks() for c in ("r", "own", "i", "j", "key"))
+        entries = table.column("all").combine_chunks()
+        inner, size = entries.flatten(), entries.value_lengths().to_numpy()
+        feature = inner.field("f").dictionary_encode()
+        code, weight = feature.indices.to_numpy(), np.zeros(len(feature.dictionary), np.int64)
+        weight[code] = inner.field("n").to_numpy()
+        by_order = pa.table({"n": weight, "f": feature.dictionary}).sort_by([("n", "ascending"), ("f", "ascending")]).column("f")
+        at, value = pc.index_in(feature.dictionary, by_order).to_numpy()[code], inner.field("x").to_numpy()
+        owner = np.repeat(np.arange(len(size)), size)
+        in_prefix = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) < table.column("size").to_numpy()[owner]
+        mine = int(pc.index_in(key[0], by_order).as_py())
+        mark = own.to_numpy()
+        left, right = np.nonzero(mark == i[0].as_py())[0], np.nonzero(mark == j[0].as_py())[0]
+        dot, here = np.zeros((len(left), len(right))), np.ones((len(left), len(right)), bool)
+        for lo in range(0, len(weight), FEATURE_COLUMNS):
+            part = (at >= lo) & (at < lo + FEATURE_COLUMNS)
+            dense, prefix = np.zeros((len(size), FEATURE_COLUMNS)), np.zeros((len(size), FEATURE_COLUMNS), np.float32)
+            dense[owner[part], at[part] - lo] = value[part]
+            before = part & in_prefix & (at < mine)
+            prefix[owner[before], at[before] - lo] = 1
+            dot += dense[left] @ dense[right].T
+            here &= prefix[left] @ prefix[right].T == 0
+        rank = np.empty(len(size), np.int64)
+        rank[pc.sort_indices(rows).to_numpy()] = np.arange(len(size))
+        apart = rank[left][:, None] < rank[right][None, :] if i[0].as_py() == j[0].as_py() else rank[left][:, None] != rank[right][None, :]
+        x, y = np.nonzero(here & apart & (dot > 0) & (dot >= least - 1e-12))
+        swap = rank[left[x]] > rank[right[y]]
+        a, b = np.where(swap, right[y], left[x]), np.where(swap, left[x], right[y])
+        return pa.table({"a": rows.take(pa.array(a)), "b": rows.take(pa.array(b)), "cosine": pa.array(dot[x, y])})
+
+    return run
+
+
+def similar_rows(df: DataFrame, row: str, feature: str, value: str, least: float = 0.0, short: int = SHORT_LIST, block: int = SIMILAR_ROWS) -> DataFrame:
+    """(a, b, cosine) with a < b of row pairs that share a feature and have a cosine above 0 and of at least ``least``.
+
+    Features are ordered rarest first.  What a row has after its prefix is shorter than ``least``, so two rows
+    that share no feature in both prefixes can't reach it: only prefixes are listed (all features if
+    ``least`` is 0).  Pairs of a list of at most ``short`` rows are candidates, measured once in a join of
+    their features.  A longer list is dealt into blocks of about ``block`` rows and a task multiplies one pair
+    of blocks, so a feature that every row has is many tasks and its pairs are never rows before they are
+    results.  Values of a cell are summed; rows of norm 0 have no pairs, nor have null rows or features.
+    """
+    if least < 0:
+        raise ValueError("least is 0 or more")
+    cells = df.where(F.col(row).isNotNull() & F.col(feature).isNotNull()).groupBy(F.col(row).alias("r"), F.col(feature).alias("f")).agg(F.sum(F.col(value).cast("double")).alias("v")).where("v <> 0")
+    lists = cells.groupBy("f").agg(F.count("*").alias("n"))
+    norms = cells.groupBy("r").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    unit = cells.join(norms, "r").join(lists, "f").select("r", "f", "n", (F.col("v") / F.col("norm")).alias("x"))
+    rows = unit.groupBy("r").agg(F.array_sort(F.collect_list(F.struct("n", "f", "x"))).alias("all"))  # a row's own features
+    step = lambda s, e: F.struct((s["left"] - e["x"] * e["x"]).alias("left"), (s["size"] + F.when(s["left"] >= least * least - 1e-9, 1).otherwise(0)).alias("size"))
+    kept = rows.withColumn("size", F.aggregate("all", F.struct(F.lit(1.0).alias("left"), F.lit(0).alias("size")), step)["size"])
+    listed = kept.select("r", "all", "size", F.explode(F.slice("all", F.lit(1), F.col("size"))).alias("e"))
+
+    few = listed.where(F.col("e.n") <= short).select("r", F.col("e.f").alias("f"))
+    met = few.withColumnRenamed("r", "a").join(few.withColumnRenamed("r", "b"), "f").where("a < b").select("a", "b").distinct()
+    side = lambda name: unit.select(F.col("r").alias(name), "f", F.col("x").alias(f"x{name}"))
+    measured = met.join(side("a"), "a").join(side("b"), ["b", "f"]).groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("cosine")).where((F.col("cosine") > 0) & (F.col("cosine") >= least - 1e-12))
+
+    parts = F.ceil(F.col("e.n") / F.lit(block)).cast("int")
+    own = listed.where(F.col("e.n") > short).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("r"), F.col("parts")).cast("int"))
+    dealt = own.select("r", "all", "size", "own", F.col("e.f").alias("key"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    kind = cells.schema["r"].dataType.simpleString()
+    multiplied = dealt.groupBy("key", "i", "j").applyInArrow(_multiplied(least), f"a {kind}, b {kind}, cosine double")
+    return measured.unionByName(multiplied).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))  # a pair may meet both ways

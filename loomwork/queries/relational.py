@@ -37,16 +37,27 @@ _near = lambda v: J.knn(v.points.where("vec_id % 20 = 0"), v.points, "vec_id", "
 add("join_knn", lambda v: rounded(_near(v)), f"WITH {_KNN} SELECT query, neighbour, {r('distance', 6)} AS distance, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, neighbour) AS INTEGER) AS rank FROM k")
 
 
-def _knn_vote(v: Views):
-    votes = _near(v).join(v.points.select(F.col("vec_id").alias("neighbour"), F.col("label").alias("vote")), "neighbour").groupBy("query", "vote").agg(F.count("*").alias("n"))
-    return votes.groupBy("query").agg(F.min(F.struct((-F.col("n")).alias("n"), "vote")).alias("b")).select("query", F.col("b.vote").alias("predicted"))
+add("model_knn", lambda v: J.knn_classify(_near(v), v.points, "vec_id", "label"), f"WITH {_KNN} SELECT query, label AS predicted FROM (SELECT query, label, count(*) AS n FROM k GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, label) = 1")
+_WEIGHED = """w AS (SELECT k.*, CASE WHEN min(distance) OVER (PARTITION BY query) = 0 THEN CAST(distance = 0 AS DOUBLE) ELSE 1.0::DOUBLE / nullif(distance, 0) END AS w FROM k)"""
+add("model_knn_weighted", lambda v: J.knn_classify(_near(v), v.points, "vec_id", "label", "distance"), f"WITH {_KNN}, {_WEIGHED} SELECT query, label AS predicted FROM (SELECT query, label, round(sum(w), 9) AS w FROM w GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY query ORDER BY w DESC, label) = 1")
 
 
-add("model_knn", _knn_vote, f"WITH {_KNN} SELECT query, label AS predicted FROM (SELECT query, label, count(*) AS n FROM k GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, label) = 1")
-add("join_self_similarity", lambda v: rounded(J.cosine_pairs(v.orders.select(F.col("company").alias("row"), F.col("country").alias("f"), "quantity"), "row", "f", "quantity").where("a < b")),
-    sql("sales", f"""SELECT a, b, {r('dot / (na * nb)', 6)} AS cosine FROM (SELECT x.company AS a, y.company AS b, sum(x.q * y.q) AS dot, any_value(x.n) AS na, any_value(y.n) AS nb
+def _knn_regression(v: Views):
+    """Used-car prices from the cars nearest in size and in the remainder of their id (the tables hold one measure only), by L1; ties go to the smaller id."""
+    cars = v.cars.select("Id", F.array("size", (F.col("Id") % 97).cast("double")).alias("x"), "price").cache()
+    near = J.knn(cars.where("Id % 20 = 0"), cars, "Id", "x", 5, p=1)
+    return rounded(J.knn_regress(near, cars, "Id", "price").withColumnRenamed("predicted", "uniform").join(J.knn_regress(near, cars, "Id", "price", "distance").withColumnRenamed("predicted", "weighted"), "query"), 4)
+
+
+add("model_knn_regression", _knn_regression, sql("cars", f""", c AS (SELECT Id, size, CAST(Id % 97 AS DOUBLE) AS m, price FROM cars),
+k AS (SELECT q.Id AS query, b.price, abs(q.size - b.size) + abs(q.m - b.m) AS distance FROM c q JOIN c b ON q.Id % 20 = 0 AND q.Id <> b.Id QUALIFY row_number() OVER (PARTITION BY q.Id ORDER BY distance, b.Id) <= 5), {_WEIGHED}
+SELECT query, {r('avg(price)', 4)} AS uniform, {r('sum(w * price) / sum(w)', 4)} AS weighted FROM w GROUP BY 1"""))
+_COSINE = f"""SELECT a, b, {r('dot / (na * nb)', 6)} AS cosine FROM (SELECT x.company AS a, y.company AS b, sum(x.q * y.q) AS dot, any_value(x.n) AS na, any_value(y.n) AS nb
     FROM (SELECT *, sqrt(sum(q * q) OVER (PARTITION BY company)) AS n FROM (SELECT company, country, sum(quantity) AS q FROM sales GROUP BY 1, 2)) x
-    JOIN (SELECT *, sqrt(sum(q * q) OVER (PARTITION BY company)) AS n FROM (SELECT company, country, sum(quantity) AS q FROM sales GROUP BY 1, 2)) y ON x.country = y.country AND x.company < y.company GROUP BY 1, 2)"""))
+    JOIN (SELECT *, sqrt(sum(q * q) OVER (PARTITION BY company)) AS n FROM (SELECT company, country, sum(quantity) AS q FROM sales GROUP BY 1, 2)) y ON x.country = y.country AND x.company < y.company GROUP BY 1, 2)"""
+_bought = lambda v, by: v.orders.select(F.col("company").alias("row"), F.col(by).alias("f"), "quantity")
+add("join_self_similarity", lambda v: rounded(J.similar_rows(_bought(v, "country"), "row", "f", "quantity")), sql("sales", _COSINE))
+add("join_similar_rows", lambda v: rounded(J.similar_rows(_bought(v, "product_id"), "row", "f", "quantity", 0.2)), sql("sales", f"SELECT * FROM ({_COSINE.replace('country', 'product_id')}) WHERE cosine >= 0.2"))
 
 # --- aggregation
 _M = f"count(*) AS trip_count, {r('avg(fare)')} AS avg_fare, {r('avg(tip)')} AS avg_tip, CAST(sum(passengers) AS BIGINT) AS total_passengers, {r('avg(distance)')} AS avg_distance"

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import collections
 import datetime as dt
+import math
+import random
 
 import pytest
 from pyspark.sql import Row
@@ -129,6 +132,78 @@ def test_knn_ties_and_nulls(spark):
     assert J.knn(base.limit(0), base, "id", "v", 2).count() == 0
 
 
+def brute_knn(rows, asked, k, p):
+    dist = lambda a, b: sum(abs(x - y) for x, y in zip(a, b)) if p == 1 else math.sqrt(sum((x - y) ** 2 for x, y in zip(a, b)))
+    near = {q: sorted((dist(rows[q], v), i) for i, v in rows.items() if i != q)[:k] for q in asked}
+    return {(q, i): (n, pytest.approx(d)) for q, own in near.items() for n, (d, i) in enumerate(own, 1)}
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_knn_in_blocks_equals_brute_force(spark, p):
+    rng = random.Random(p)
+    rows = {i: [rng.gauss(0, 1) + 8 * (i % 3), rng.gauss(0, 1)] for i in range(300)} | {300 + i: [1.0, 1.0] for i in range(80)} | {400: [500.0, 0.0]}
+    df = frame(spark, "id long, v array<double>", *rows.items(), (None, [0.0, 0.0]), (999, None))
+    asked = [i for i in rows if i % 4 == 0]
+    got = J.knn(df.where("id % 4 = 0"), df, "id", "v", 5, p, pivots=9, base_rows=20, query_rows=15)
+    assert {(r.query, r.neighbour): (r["rank"], r.distance) for r in got.collect()} == brute_knn(rows, asked, 5, p)
+    few = df.where("id < 3")
+    assert J.knn(few, few, "id", "v", 5, p).count() == 6  # fewer rows than k
+
+
+def test_knn_prunes_far_pivots(spark):
+    df = frame(spark, "id long, v array<double>", *[(i, [1000.0 * (i % 10), float(i)]) for i in range(200)])
+    plan = J.knn(df.where("id = 5"), df, "id", "v", 3, pivots=40)
+    assert sorted(values(plan, "neighbour")) == [15, 25, 35]
+
+
+def test_knn_votes_and_means(spark):
+    base = frame(spark, "id long, v array<double>, y double, c string", (1, [0.0], 0.0, "q"), (2, [1.0], 10.0, "a"), (3, [3.0], 20.0, "b"), (4, [3.0], 30.0, "b"), (5, [100.0], 7.0, None), (6, [100.0], 9.0, "z"), (7, [101.0], None, "y"))
+    near = J.knn(base.where("id in (1, 5)"), base, "id", "v", 3)
+    label = lambda w: {r.query: r.predicted for r in J.knn_classify(near, base, "id", "c", w).collect()}
+    mean = lambda w: {r.query: r.predicted for r in J.knn_regress(near, base, "id", "y", w).collect()}
+    assert label("uniform") == {1: "b", 5: "b"} and label("distance") == {1: "a", 5: "z"}
+    assert mean("uniform") == {1: 20.0, 5: pytest.approx((9 + 20) / 2)}
+    assert mean("distance") == {1: pytest.approx((10 + 20 / 3 + 30 / 3) / (1 + 2 / 3)), 5: 9.0}  # a neighbour at distance 0 counts alone
+    with pytest.raises(ValueError):
+        J.knn_regress(near, base, "id", "y", "other")
+
+
+@pytest.mark.parametrize("least", [0.0, 0.3, 0.8])
+def test_similar_rows_equal_brute_force(spark, least):
+    rng = random.Random(3)
+    cells = collections.defaultdict(float)
+    rows = [(r, rng.choice("abcdefghij") if rng.random() < 0.7 else f"f{rng.randint(0, 60)}", rng.choice([-1.0, 0.5, 1.0, 2.0])) for r in range(70) for _ in range(rng.randint(1, 9))]
+    rows += [(200 + i, "all", 1.0) for i in range(50)] + [(300, "x", 1.0), (300, "x", -1.0), (None, "a", 1.0), (301, None, 1.0)]
+    for r, f, v in rows:
+        if r is not None and f is not None:
+            cells[r, f] += v
+    vec = collections.defaultdict(dict)
+    for (r, f), v in cells.items():
+        if v:
+            vec[r][f] = v
+    dot = lambda a, b: sum(x * b.get(f, 0) for f, x in a.items()) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+    want = {(a, b): c for a in vec for b in vec if a < b and (c := dot(vec[a], vec[b])) > 1e-12 and c >= least - 1e-12}
+    df = frame(spark, "r int, f string, v double", *rows)
+    for short, block in ((64, 1024), (3, 7), (1000, 7)):
+        got = {(r.a, r.b): r.cosine for r in J.similar_rows(df, "r", "f", "v", least, short, block).collect() if r.cosine > 1e-12}
+        assert got == pytest.approx(want)
+    assert J.similar_rows(df.limit(0), "r", "f", "v").count() == 0
+
+
+def test_quantiles_equal_sorting(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([0.0, 1.0, 1.0, rng.gauss(0, 1e6), 10 ** rng.uniform(-300, 300)]), float(i % 2), None) for i in range(4000)] + [(None, None, None), (float("inf"), 5.0, None), (float("nan"), None, None)]
+    df = frame(spark, "x double, y double, z double", *rows).repartition(4)
+    pcts = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
+    xs, ys = sorted(x for x, _, _ in rows if x is not None and x == x), sorted(y for _, y, _ in rows if y is not None)
+    at = {"x": sorted({0, 1, 700, 2000, 3999, len(xs) - 1}), "y": [0, 1999, 2000, 2001, len(ys) - 1]}
+    for most, accuracy in ((50_000, 10_000), (40, 100), (2, 20)):  # one pass; several; many with a coarse sketch
+        got = A.select_ranks(df, at, most, accuracy)
+        assert got == {("x", r): xs[r] for r in at["x"]} | {("y", r): ys[r] for r in at["y"]}
+    mid = A.quantiles_exact(df, ["y", "z"], pcts)
+    assert mid["z"] == [None] * 7 and mid["y"][3] == ys[(len(ys) - 1) // 2]
+
+
 def test_cosine_pairs(spark):
     df = frame(spark, "r int, f int, v double", (1, 1, 1.0), (2, 1, 2.0), (2, 2, 2.0), (3, 3, 1.0))
     got = {(r.a, r.b): round(r.cosine, 6) for r in J.cosine_pairs(df, "r", "f", "v").collect()}
