@@ -18,6 +18,7 @@ from loomwork.queries.registry import add, rounded
 from loomwork.sources.scratch import scratch
 from loomwork.sources.tables import read_csv, write_csv
 from loomwork.streaming import running as S
+from loomwork.streaming.arrivals import drained, write_in_order
 
 # --- features
 add("feat_label_encode", lambda v: X.fit_label_encode(v.cars, "brand").transform(v.cars).select("Id", "brand_code"), sql("cars", "SELECT Id, CAST(dense_rank() OVER (ORDER BY brand) - 1 AS INTEGER) AS brand_code FROM cars"))
@@ -250,31 +251,11 @@ add("pipe_complaints", _complaints)
 
 
 # --- streams over files, to the end of what is there
-ARRIVAL_ROWS = 1_000_000
-
-
 def _drained(v: Views, build) -> DataFrame:
-    """Let the frames arrive in time ranges of about ``ARRIVAL_ROWS`` rows, at least two; after each, run ``build``
-    on the stream until nothing new is there, with the state of the run before.  Return the table that it fills."""
-    base, rows, spark = scratch(v.spark, "stream"), _chunks(v), v.spark
-    count = rows.count()
-    parts = max(2, -(-count // ARRIVAL_ROWS))
-    cuts = rows.agg(F.percentile_approx("ts", [i / parts for i in range(1, parts)], 20 * parts).alias("q")).first().q or []
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        for lo, hi in zip([None, *cuts], [*cuts, None]):
-            since = F.lit(True) if lo is None else F.col("ts") >= F.lit(lo)
-            until = F.lit(True) if hi is None else F.col("ts") < F.lit(hi)
-            late = F.col("ts").isNull() if lo is None else F.lit(False)
-            rows.where((since & until) | late).write.mode("append").parquet(f"{base}/in")
-            stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
-            q = build(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-            q.awaitTermination()
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-    return spark.read.parquet(f"{base}/out")
+    """The frames arrive in the order of their times; each file meets the state of those before."""
+    base, rows = scratch(v.spark, "stream"), _chunks(v)
+    write_in_order(rows, "ts", f"{base}/in")
+    return drained(v.spark, f"{base}/in", rows.schema, build, base)
 
 
 add("stream_running_average", lambda v: rounded(_drained(v, lambda s: S.running_average(s, "key", "ts", "x", 0.2)).select("key", "ts", "ewma"), 5), "WITH RECURSIVE " + sql("frames", "")[5:] + f""", n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts) AS i FROM frames),

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 
 def _rows(frames: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
-    return pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable")
+    return pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable", na_position="first")
 
 
 class _Running(StatefulProcessor):

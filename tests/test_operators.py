@@ -411,3 +411,18 @@ def test_files(spark, tmp_path):
     (tmp_path / "z.json").write_text('{"features": [{"properties": {"location_id": "4", "zone": null}}]}')
     assert T.read_features(spark, str(tmp_path / "z.json")).collect() == [Row(zone_id=4, zone="")]
     assert T.calendar(spark, dt.date(1997, 1, 1), dt.date(1998, 12, 31)).count() == 730
+
+
+def test_streams_take_files_in_order(spark, tmp_path):
+    from loomwork.streaming import running
+    from loomwork.streaming.arrivals import drained, write_in_order
+
+    rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=(i * 37) % 60), float((i * 37) % 60 % 7)) for i in range(60) for k in ("a", "b")] + [("a", None, 3.0)]
+    df = frame(spark, "k string, ts timestamp, x double", *rows)
+    base = str(tmp_path)
+    assert write_in_order(df, "ts", f"{base}/in", 12) >= 9  # each partition is cut into files
+    got = drained(spark, f"{base}/in", df.schema, lambda s: running.running_average(s, "k", "ts", "x", 0.25), base)
+    want = SE.ewma(df, "k", "ts", "x", 0.25)
+    key = lambda d: {(r.k, r.ts): r.ewma for r in d.collect()}
+    assert key(got) == pytest.approx(key(want)) and got.count() == len(rows)
+    assert len(list((tmp_path / "state" / "commits").glob("[0-9]*"))) >= 9  # a file a micro-batch
