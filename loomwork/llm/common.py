@@ -61,3 +61,8 @@ def fold(key: str = "doc_id") -> Column:
 def held_out(number: int, key: str = "doc_id") -> Column:
     """Is the key's fold ``number``? A null key is in none: it is never learned from and not held out."""
     return F.coalesce(fold(key) == number, F.lit(False))
+
+
+def hash_share(hashed: Column, share: float) -> Column:
+    """Does a 64-bit hash lie in the lowest ``share`` of its range? Any share above 2^-50 or so is told apart."""
+    return F.lit(True) if share >= 1 else hashed < F.lit(min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64))))

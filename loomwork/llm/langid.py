@@ -7,9 +7,8 @@ word counts), each round one Spark job that returns expected counts, whose size
 vocabulary times languages.  Training uses a documented, bounded sample of rows per language
 (``per_language``, chosen by a hash of the key); prediction covers every row and whole texts.
 
-Null text, or text without a letter, is ``und`` with score 0.  Words of any length are scored over all
-their segmentations; the expected counts of training take words over 24 characters in runs of 24.  Of
-equally likely languages the first by name is predicted.  Repeated rows get equal results; null keys
+Null text, or text without a letter, is ``und`` with score 0.  Words, which end at Unicode blanks, are
+learned and scored over all their segmentations, whatever their length.  Of equally likely languages the first by name is predicted.  Repeated rows get equal results; null keys
 are kept and never learned from; extra columns, whatever their names, are left out; without any
 training row every text is ``und``; an empty table gives an empty result.
 """
@@ -24,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm.common import hash_share
 from loomwork.llm.tokens import slices
 
 #: Characters up to which a word needs no scaling, and the share of a character outside the vocabulary.
@@ -33,6 +33,8 @@ CELLS = 1 << 17
 #: Slots of the piece table, and the most slots that a lookup probes.
 SLOTS, PROBES = 1 << 18, 5
 _SHIFT = np.uint64(64 - SLOTS.bit_length() + 1)
+#: What ends a word, as Python's ``str.split`` has it.
+_BLANKS = r"[\x1c-\x1f\p{IsWhite_Space}]+"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -79,10 +81,6 @@ class Lattice:
             out = np.where(self.keys[at + k] == h, self.values[at + k], out)
         return out
 
-    def runs(self, word: str) -> list[str]:
-        word = "▁" + word
-        return [word] if len(word) <= RUN else [word[i : i + RUN] for i in range(0, len(word), RUN)]
-
     def edges(self, words: list[str], n: int) -> np.ndarray:
         """ids[word, start, length - 1] of words of ``n`` characters; -1 where no piece matches."""
         most = min(n, self.longest)
@@ -123,8 +121,30 @@ class Lattice:
                 log += np.log(top)
         return log + np.log(np.maximum(window[n % most], 1e-300))
 
+    def expected_long(self, ids: np.ndarray, prob: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """As ``expected``, for words of any length: both passes hold logarithms."""
+        n, most = ids.shape[1:]
+        step = lambda i, j: prob[ids[:, i, j - i - 1]]
+        ahead = [np.zeros((len(ids), prob.shape[1]))]
+        for j in range(1, n + 1):
+            seen = sum(np.exp(ahead[i] - ahead[j - 1]) * step(i, j) for i in range(max(0, j - most), j))
+            ahead.append(ahead[j - 1] + np.log(np.maximum(seen, 1e-300)))
+        out, behind = np.zeros((self.size + 1, prob.shape[1])), {n: np.zeros_like(ahead[0])}
+        for i in range(n - 1, -1, -1):
+            seen = np.zeros_like(ahead[0])
+            for j in range(i + 1, min(n, i + most) + 1):
+                seen += np.exp(behind[j] - behind[i + 1]) * step(i, j)
+                share = np.exp(ahead[i] + behind[j] - ahead[n]) * step(i, j) * count
+                for g in range(prob.shape[1]):
+                    out[:, g] += np.bincount(ids[:, i, j - i - 1] + 1, share[:, g], self.size + 1)
+            behind[i] = behind[i + 1] + np.log(np.maximum(seen, 1e-300))
+            behind.pop(i + most, None)
+        return out[1:]
+
     def expected(self, ids: np.ndarray, prob: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Expected piece counts [piece, language] of words seen ``count[word, language]`` times."""
+        if ids.shape[1] > RUN:
+            return self.expected_long(ids, prob, count)
         n, alpha = ids.shape[1], self.forward(ids, prob)
         beta = [np.zeros_like(alpha[0]) for _ in range(n)] + [np.ones_like(alpha[0])]
         out = np.zeros((self.size + 1, prob.shape[1]))
@@ -206,9 +226,11 @@ def fit(df: DataFrame, path: str, training: Column, per_language: int = 1500, ro
     names = list(seen)
     if not names:
         return [], np.zeros(0), np.zeros((0, 0))
-    share = F.create_map(*[F.lit(x) for n in names for x in (n, min(1.0, per_language / seen[n]))])
-    picked = rows.where(F.pmod(F.xxhash64(key, F.lit("langid")), F.lit(1 << 20)) < share[F.col(lang)] * (1 << 20))
-    words = picked.select(F.col(lang).alias("l"), F.explode(F.split(text, r"\s+")).alias("w")).where("w <> ''").groupBy("w", "l").count()
+    within = F.lit(False)
+    for n in names:
+        within = within | ((F.col(lang) == n) & hash_share(F.xxhash64(key, F.lit("langid")), per_language / seen[n]))
+    picked = rows.where(within)
+    words = picked.select(F.col(lang).alias("l"), F.explode(F.split(text, _BLANKS)).alias("w")).where("w <> ''").groupBy("w", "l").count()
     counts = words.groupBy("w").pivot("l", names).agg(F.first("count")).na.fill(0).persist()
     size = lattice(path).size
     prob = np.full((size, len(names)), 1.0 / size)
@@ -224,15 +246,16 @@ def fit(df: DataFrame, path: str, training: Column, per_language: int = 1500, ro
                 def add():
                     counts_ = np.array(count, np.float64)
                     for n, at in _by_length(flat):
-                        total[:] += own.expected(own.edges([flat[i] for i in at], n), full, counts_[at])
+                        for i in range(0, len(at), max(1, CELLS // n)):
+                            held = at[i : i + max(1, CELLS // n)]
+                            total[:] += own.expected(own.edges([flat[k] for k in held], n), full, counts_[held])
                     flat.clear()
                     count.clear()
 
                 for b in batches:
                     for w, c in zip(b.column(0).to_pylist(), np.stack([x.to_numpy(zero_copy_only=False) for x in b.columns[1:]], axis=1)):
-                        for r in own.runs(w):
-                            flat.append(r)
-                            count.append(c)
+                        flat.append("\u2581" + w)
+                        count.append(c)
                     if len(flat) > 100_000:
                         add()
                 add()

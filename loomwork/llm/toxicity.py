@@ -7,7 +7,8 @@ holds quotation marks or a verb of reporting, as quotation.  A logistic model ov
 the score.  Learning uses a documented, bounded sample of labelled rows (``sample`` of each label, by
 a hash of the key); scoring covers every row and whole texts.
 
-Null or empty text has no hits and gets the model's score for that.  Repeated rows get equal
+Candidate terms are words of any length without their outer punctuation.  An empty table gives an empty
+result.  Null or empty text has no hits and gets the model's score for that.  Repeated rows get equal
 results; extra columns are left out; without labelled rows of both kinds every score is 0.
 """
 
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm.common import hash_share
 from loomwork.llm.tokens import slices
 
 #: Quotation marks, and verbs of reporting in the four languages of the data.
@@ -162,11 +164,12 @@ class Lexicon:
 
 
 def _sample(labels: DataFrame, training: Column, sample: int, key: str, label: str) -> DataFrame:
-    """About ``sample`` labelled keys of each label, by hash: at most that many rows are ever broadcast."""
+    """The ``sample`` labelled keys of each label with the least hash: at most twice that many rows are ever broadcast."""
     rows = labels.where(training & labels[label].isin(0, 1) & labels[key].isNotNull()).select(labels[key].alias("k"), labels[label].cast("int").alias("y"))
     seen = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
-    share = F.when(F.col("y") == 1, min(1.0, sample / max(1, seen.get(1, 0)))).otherwise(min(1.0, sample / max(1, seen.get(0, 0))))
-    return rows.where(F.pmod(F.xxhash64("k", F.lit("toxicity")), F.lit(1 << 20)) < share * (1 << 20)).groupBy("k").agg(F.max("y").alias("y")).limit(3 * sample)
+    place = F.xxhash64("k", F.lit("toxicity"))
+    likely = [rows.where((F.col("y") == y) & hash_share(place, 2 * sample / max(1, seen.get(y, 0)))).distinct().orderBy(place, "k").limit(sample) for y in (0, 1)]  # sorted among twice the sample
+    return likely[0].unionByName(likely[1]).groupBy("k").agg(F.max("y").alias("y"))
 
 
 def learn_lexicon(rows: DataFrame, least: int = 3, ratio: float = 10.0, stems: tuple[int, int] = (4, 6)) -> Lexicon:
@@ -177,7 +180,7 @@ def learn_lexicon(rows: DataFrame, least: int = 3, ratio: float = 10.0, stems: t
     """
     plain = F.transform(F.split(F.lower("t"), r"\s+"), lambda w: F.regexp_replace(w, r"^\W+|\W+$", ""))
     before = F.concat(F.array(F.lit("")), F.slice("ws", F.lit(1), F.greatest(F.size("ws") - 1, F.lit(0))))
-    words = rows.select("y", plain.alias("ws")).select("y", F.explode(F.arrays_zip("ws", before.alias("before"))).alias("p")).select("y", F.col("p.ws").alias("w"), F.col("p.before").alias("before")).where("length(w) between 3 and 40").distinct()
+    words = rows.select("y", plain.alias("ws")).select("y", F.explode(F.arrays_zip("ws", before.alias("before"))).alias("p")).select("y", F.col("p.ws").alias("w"), F.col("p.before").alias("before")).where("w <> ''").distinct()
     totals = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     if not (totals.get(0) and totals.get(1)):
         return Lexicon([], [])
@@ -216,7 +219,7 @@ def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 0.05) ->
 
 
 def fit(df: DataFrame, labels: DataFrame, training: Column, sample: int = 3000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[Lexicon, np.ndarray | None]:
-    """Lexicon and weights from at most about ``sample`` rows of each label among ``training`` labels."""
+    """Lexicon and weights from at most ``sample`` keys of each label among ``training`` labels."""
     picked = _sample(labels, training, sample, key, label)
     rows = df.select(df[key].alias("k"), F.coalesce(df[text], F.lit("")).alias("t")).join(F.broadcast(picked), "k").select("y", "t").persist()
     try:

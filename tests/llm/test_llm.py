@@ -126,6 +126,23 @@ def test_long_words_sum_all_segmentations(spark):
     assert np.isfinite(own.log_forward(["\u2581" + "x" * 20_000], prob)).all()
 
 
+def test_training_sums_all_segmentations_of_long_words(spark):
+    own, rng = langid.lattice(PIECES), np.random.default_rng(5)
+    prob = np.vstack([rng.random((own.size, 3)) * 1e-4, np.zeros((1, 3))])
+    count = rng.random((2, 3))
+    ids = own.edges(["\u2581thereby", "\u2581another"], 8)
+    assert np.allclose(own.expected(ids, prob, count), own.expected_long(ids, prob, count))
+    word = "\u2581" + "internationalization" * 40
+    counts = own.expected(own.edges([word], len(word)), prob, np.ones((1, 3)))
+    length = np.ones(own.size)
+    for p, i in own.id.items():
+        length[i] = len(p)
+    assert np.allclose((counts * length[:, None]).sum(axis=0), len(word))  # every segmentation spells the word
+    texts = [("en", f"the cat{blank}sat") for blank in (" ", "\u00a0", "\u2003", "\x1c", "\n\t")] * 3 + [("fr", "le chat " + "x" * 5000)] * 3
+    made = langid.fit(spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, lang string, text string"), PIECES, F.lit(True))
+    assert made[0] == ["en", "fr"] and made[2][own.id["\u2581sat"], 0] > 100 * made[2][own.id["\u2581sat"], 1]
+
+
 def test_prediction_of_no_rows(spark, docs):
     model = langid.fit(docs, PIECES, fold() != 0)
     assert langid.predict(docs.limit(0), PIECES, model).count() == 0
@@ -434,6 +451,21 @@ def test_quotation_differs_from_abuse():
     assert lex.hits(lex.words('They wrote: "moron" is a word')) == [(2, 1, True)]
 
 
+def test_lexicon_takes_terms_of_any_length(spark):
+    rng = random.Random(1)
+    plain = [f"w{i}" for i in range(300)]
+    rows = [(" ".join(rng.sample(rng.sample(plain, 20) + (["zq", "y" * 60] if i % 2 else []), 20 + 2 * (i % 2))), i % 2) for i in range(400)]
+    found = toxicity.learn_lexicon(spark.createDataFrame(rows, "t string, y int"))
+    assert {"zq", "y" * 60} <= set(found.terms) | {w for w in ("zq", "y" * 60) if w.startswith(tuple(found.stems))}
+
+
+def test_label_sample_is_bounded_and_repeats(spark):
+    labels = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("int").alias("toxic"))
+    pick = lambda n: {(r.k, r.y) for r in toxicity._sample(labels.repartition(n), F.lit(True), 200, "doc_id", "toxic").collect()}
+    assert pick(1) == pick(7) and [sum(y == v for _, y in pick(3)) for v in (0, 1)] == [200, 200]
+    assert len(toxicity._sample(labels.where("doc_id < 50"), F.lit(True), 200, "doc_id", "toxic").collect()) == 50
+
+
 def test_toxicity_held_out(spark, edge):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels, fold() != 0)

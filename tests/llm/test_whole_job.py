@@ -59,7 +59,8 @@ def test_fingerprints_hold_48_samples(spark):
 
 def test_all_rows_count_frequent_elements(spark):
     docs = spark.createDataFrame([(i, "one two three four five six seven") for i in range(20)], "doc_id long, text string")
-    assert len(jaccard._frequent(docs, 3, 90, "doc_id", "text"))  # a quarter of the rows holds fewer than HEAVY
+    elements, level = jaccard._frequent(docs, 3, 90, "doc_id", "text")  # a quarter of the rows holds fewer than HEAVY
+    assert len(set(elements.tolist())) == 2 and level.tolist() == [4, 4]  # of 5 shingles a set posts 2; 20 rows hold them
 
 
 def test_lexicon_keeps_all_candidates(spark):
