@@ -101,10 +101,10 @@ def impute_mode(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def fraction_sample(df: DataFrame, f: float, seed: int = 42, key: str | None = None) -> DataFrame:
-    """Bernoulli sample; with ``key`` by a hash of it, the same rows under any plan."""
+    """Bernoulli sample; with ``key`` by the whole 64-bit hash of it, the same rows under any plan and for any small share."""
     if key is None:
         return df.sample(f, seed=seed)
-    return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000)) < int(f * 10_000))
+    return df if f >= 1 else df.filter(F.xxhash64(F.col(key), F.lit(seed)) < F.lit(-(1 << 63) + int(f * (1 << 64))))
 
 
 def add_ingest_time(df: DataFrame, time: str) -> DataFrame:

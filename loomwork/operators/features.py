@@ -117,21 +117,21 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="skip").transform(df)
 
 
-def fit_pca(df: DataFrame, col: str, share: float = 0.8, most: int = 60):
-    """PCA on a vector column with as few components as explain ``share`` of the variance; the fitted model and their number."""
+def fit_pca(df: DataFrame, col: str, share: float = 0.8):
+    """PCA on a vector column with as few components as explain ``share`` of the variance, up to all; the fitted model and their number."""
     size = df.select(col).first()[0].size
-    full = PCA(k=min(size, most), inputCol=col, outputCol="pca").fit(df)
+    full = PCA(k=size, inputCol=col, outputCol="pca").fit(df)
     total, k = 0.0, 0
     for k, v in enumerate(full.explainedVariance, 1):
         total += v
-        if total >= share:
+        if total >= share - 1e-12:
             break
     return PCA(k=k, inputCol=col, outputCol="pca").fit(df), k
 
 
 def hash_share(key: str, seed: int = 42) -> Column:
     """A number in [0, 100) that depends on the key alone, so splits repeat under any plan."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000)) / 100.0
+    return (F.xxhash64(F.col(key), F.lit(seed)) / F.lit(2.0**64) + 0.5) * 100.0
 
 
 def split(df: DataFrame, key: str, weights: dict[str, float], seed: int = 42) -> DataFrame:

@@ -56,7 +56,7 @@ def _manifest(v: Views) -> DataFrame:
     """An empty file for each of eight labelled names, derived from the parts' classes; only paths are read back."""
     base = scratch(v.spark, "images")
     names = v.table("part").select(F.concat(F.lit("8863_idx5_x"), (F.col("p_size") * 50 + 1).cast("string"), F.lit("_y1451_class"), (F.col("p_partkey") % 2).cast("string")).alias("name")).distinct()
-    names.select(F.lit("").alias("value"), "name").coalesce(1).write.partitionBy("name").text(base)
+    names.select(F.lit("").alias("value"), "name").repartition("name").write.partitionBy("name").text(base)
     files = v.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(base).select("path")
     return T.manifest_of(files.select(F.regexp_replace("path", r"^.*name=([^/]+)/.*$", "$1.png").alias("path")))
 

@@ -63,7 +63,7 @@ def _pca(v: Views) -> DataFrame:
 
     d = _vectors(v)
     scaled = StandardScaler(inputCol="v", outputCol="z", withMean=True).fit(d).transform(d)
-    model, k = X.fit_pca(scaled, "z", 0.8, 64)
+    model, k = X.fit_pca(scaled, "z", 0.8)
     shares = [(i + 1, float(x), k) for i, x in enumerate(model.explainedVariance)]
     return v.spark.createDataFrame(shares, "component int, explained double, kept int")
 

@@ -134,9 +134,9 @@ add("ord_sort", lambda v: v.stock.select("ticker", "date", "close").orderBy("tic
 add("ord_top_k", lambda v: v.table("orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 
 # --- set operations and reshaping
-_month = lambda v, m: v.trips.where(F.month("pickup") == m).select("trip_id", "fare")
-add("set_union_by_name", lambda v: R.union_all([_month(v, 1), _month(v, 1).select("fare", "trip_id")]), sql("trips", "SELECT trip_id, fare FROM trips WHERE month(pickup) = 1 UNION ALL SELECT trip_id, fare FROM trips WHERE month(pickup) = 1"))
-add("set_union_missing", lambda v: R.union_all([_month(v, 1), _month(v, 1).select("trip_id", F.lit("x").alias("extra"))], missing=True), sql("trips", "SELECT trip_id, fare, NULL AS extra FROM trips WHERE month(pickup) = 1 UNION ALL SELECT trip_id, NULL, 'x' FROM trips WHERE month(pickup) = 1"))
+_fares = lambda v: v.trips.select("trip_id", "fare")
+add("set_union_by_name", lambda v: R.union_all([_fares(v), v.trips.select("fare", "trip_id")]), sql("trips", "SELECT trip_id, fare FROM trips UNION ALL SELECT trip_id, fare FROM trips"))
+add("set_union_missing", lambda v: R.union_all([_fares(v), v.trips.select("trip_id", F.lit("x").alias("extra"))], missing=True), sql("trips", "SELECT trip_id, fare, NULL AS extra FROM trips UNION ALL SELECT trip_id, NULL, 'x' FROM trips"))
 add("set_append_columns", lambda v: R.append_columns(v.trips.select("trip_id", "fare"), v.trips.where("k > 50").select("trip_id", "k"), "trip_id"), sql("trips", "SELECT trip_id, fare, CASE WHEN k > 50 THEN k END AS k FROM trips"))
 add("reshape_pivot", lambda v: rounded(R.pivot_dense(v.trips.groupBy("pickup_zone", "passengers").agg(F.sum("fare").alias("f")), "pickup_zone", "passengers", "f", [0, 1, 2, 3, 4, 5, 6]), 3), sql("trips", "SELECT pickup_zone, " + ", ".join(f"coalesce({r(f'sum(fare) FILTER (WHERE passengers = {i})', 3)}, 0) AS \"{i}\"" for i in range(7)) + " FROM trips GROUP BY 1"))
 _TICK = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
