@@ -31,6 +31,8 @@ from loomwork.llm.tokens import encoder, slices
 #: Ids of a shard; bounds a task's memory.  Rows of a shard: keys of (id, row) fit 32 bits.
 SHARD_IDS, SHARD_ROWS = 4_000_000, 60_000
 K1, B = 1.2, 0.75
+#: Cells of the table in which a shard holds the weights of its commonest ids for all documents (in single precision, as scores are), and neighbours sorted at a time.
+DENSE_CELLS, FIRST = 8 << 20, 32
 
 
 def _width(path: str, end_id: int) -> str:
@@ -102,15 +104,30 @@ class Shard:
         order = np.argsort(self.doc, kind="stable")
         self.of_doc = np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=n))])
         self.terms = term[order]
-
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        common = np.flatnonzero(df > n // 8)  # rows of these are added whole, which is faster than their lists
+        common = common[np.argsort(-df[common], kind="stable")][: DENSE_CELLS // n]
+        self.row, self.dense = np.full(len(df), -1), np.zeros((len(common), n), np.float32)
+        self.row[common] = np.arange(len(common))
+        for r, t in enumerate(common):
+            own = slice(self.starts[t], self.starts[t + 1])
+            self.dense[r, self.doc[own]] = self.weight[own]
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
         """Unused documents that share an id with the seed, best first; all ids of the seed are asked."""
         terms = self.terms[self.of_doc[seed] : self.of_doc[seed + 1]]
-        spans = [slice(self.starts[t], self.starts[t + 1]) for t in terms]
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        row = self.row[terms]
+        spans = [slice(a, z) for a, z in zip(self.starts[terms[row < 0]], self.starts[terms[row < 0] + 1])]
+        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n).astype(np.float32) if spans else np.zeros(self.n, np.float32)
+        for r in row[row >= 0]:
+            score += self.dense[r]
         score *= unused
-        found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+        left, take = np.flatnonzero(score), FIRST
+        while len(left):  # a window takes few of them, so not all are sorted
+            own = score[left]
+            least = np.partition(own, len(own) - take)[len(own) - take] if len(own) > take else 0.0
+            first = left[own >= least]
+            yield from first[np.argsort(-score[first], kind="stable")].tolist()
+            left, take = left[own < least], 8 * take
 
 
 def pack_shard(docs: list[np.ndarray], window: int, idf: np.ndarray, mean: float) -> list[tuple[int, int, int, int, int]]:
@@ -144,7 +161,7 @@ def pack_shard(docs: list[np.ndarray], window: int, idf: np.ndarray, mean: float
         if fill:
             for d in index.neighbours(seed, unused):
                 unused[d] = False
-                place(int(d), 0)
+                place(d, 0)
                 if not fill or carry is not None:
                     break
 

@@ -353,7 +353,7 @@ def test_neighbours_fill_the_window():
         idf[t] = np.log1p((n - c + 0.5) / (c + 0.5))
     index = packing.Shard(docs, idf, mean)
     for seed in range(len(docs)):  # against BM25 computed pair by pair
-        got = index.neighbours(seed, np.arange(len(docs)) != seed)
+        got = np.array(list(index.neighbours(seed, np.arange(len(docs)) != seed)), np.int64)
         size = np.array([len(d) for d in docs])
         score = np.zeros(n)
         for t in set(docs[seed].tolist()):
