@@ -7,8 +7,8 @@ each: low bits packed, high bits in unary, and a select sample every 256 documen
 offset is found without a table of 64-bit offsets.
 
 Null text is empty text: such a document holds the end id alone.  Texts of any length are written
-whole.  Repeated keys (ties) are kept in the order of their texts; null keys come first.  An empty
-table gives a folder of one empty file.  Extra columns, whatever their names, are left out.
+whole.  Repeated keys (ties) are kept in the order of the first 32 characters of their texts, then of
+the input, and may lie in several files; null keys come first.  An empty table gives a folder of one empty file.  Extra columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ MAGIC = b"TOKEF001"
 SAMPLE = 256
 #: A file holds about so much text, and so many documents, so its keys and boundaries are bounded.
 FILE_BYTES, FILE_DOCS = 64 << 20, 1 << 19
+#: Characters of the texts by which rows with one key are ordered, before their places in the input.
+TIE_CHARS = 32
 
 
 class EliasFano:
@@ -152,7 +154,9 @@ def write_files(df: DataFrame, folder: str, path: str, end_id: int, key: str = "
     size = texts.agg(F.sum(F.octet_length("t")).alias("b"), F.count("*").alias("n")).first()
     spread = min(2 * spark.sparkContext.defaultParallelism, (size.b or 0) >> 20)  # small tables still use all cores
     files = max(1, spread, -(-(size.b or 0) // FILE_BYTES), -(-size.n // FILE_DOCS))  # a file's keys and boundaries fit a task
-    made = texts.repartitionByRange(files, "k").sortWithinPartitions("k", "t").mapInArrow(run, "shard int, file string, docs long, ids long").collect()  # a row a file, as a commit protocol keeps
+    order = ["k", "p", "u"]  # a key of many rows is dealt into many files too
+    dealt = texts.withColumns({"p": F.substring("t", 1, TIE_CHARS), "u": F.monotonically_increasing_id()}).repartitionByRange(files, *order).sortWithinPartitions(*order).select("k", "t")
+    made = dealt.mapInArrow(run, "shard int, file string, docs long, ids long").collect()  # a row a file, as a commit protocol keeps
     rows, start = [], 0
     for r in sorted(made, key=lambda r: r.shard):
         rows.append((r.shard, r.file, r.docs, r.ids, start))

@@ -512,6 +512,16 @@ def test_token_files_hold_null_keys_and_many_files(spark, edge, tmp_path, monkey
     assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got[:-1]]]).tolist()
 
 
+def test_a_hot_key_is_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(eliasfano, "FILE_DOCS", 100)
+    df = spark.range(600).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("t"), F.col("id").cast("string"))).otherwise("same").alias("text"))
+    folder = f"file://{tmp_path}/hot"
+    sizes = [r.docs for r in eliasfano.write_files(df.repartition(4), folder, JSON, 2).collect()]
+    got = sorted(eliasfano.read_files(spark, folder).collect(), key=lambda r: r.start)
+    assert max(sizes) < 200 and [r.doc_id for r in got] == [None] * 200 + sorted(i for i in range(600) if i % 3)
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got[:-1]]]).tolist()
+
+
 def test_token_files(spark, edge, library, tmp_path):
     folder = f"file://{tmp_path}/tokens"
     made = eliasfano.write_files(edge.where("doc_id is not null"), folder, JSON, 2)
