@@ -5,10 +5,10 @@ later repeated runs (documents left without text go), the n-gram Jaccard join ke
 each group, and packing fills the windows.
 
 Every stage takes any number of rows, none included, texts of any length, and columns of any name besides
-those it reads.  Verdicts are per key: rows that repeat a key share a verdict, the worst of theirs, so of
-repeated rows all stay or all go, and rows with a null key stay.  Null or empty text is not toxic, is of
-no language (it goes there), and a line dedup that leaves no line removes the document.  A column of the
-caller named like one that line dedup adds (n_lines, n_removed, removed) is replaced there.
+those it reads.  Toxicity and language are judged row by row, whatever the key.  Null or empty text is not
+toxic, is of no language (it goes there), and a line dedup that leaves no line removes the document.  The
+Jaccard join judges keys: rows that repeat a key stay or go together, and rows with a null key stay.  A
+column of the caller named like one that line dedup adds (n_lines, n_removed, removed) is replaced there.
 """
 
 from __future__ import annotations
@@ -31,24 +31,26 @@ def _file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _kept(docs: DataFrame, verdict: DataFrame, condition) -> DataFrame:
-    """Rows of ``docs`` whose verdict holds; one verdict a key, rows with a null key stay."""
-    bad = verdict.where(~condition).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def _judged(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], condition) -> DataFrame:
+    """Rows of ``docs`` whose verdict holds.  A whole row is the key of its verdict, so nothing is joined back."""
+    inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    held = docs.select(*[docs[f"`{c}`"].alias(n) for c, n in inner.items()])
+    found = judge(held.select(F.struct(*inner.values()).alias("doc_id"), F.col(inner["text"]).alias("text")))
+    return found.where(condition).select(*[F.col(f"doc_id.{n}").alias(c) for c, n in inner.items()])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
     original = read(spark, sf_dir, "documents")
     model = toxicity.fit(original, read(spark, sf_dir, "labels"), fold() != 0)
-    return _kept(docs, toxicity.score(docs, model), F.col("predicted") == 0)
+    return _judged(docs, lambda d: toxicity.score(d, model), F.col("predicted") == 0)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or without a clearly best language, go."""
     path = _file("piece_bpe_32k.model")
     model = langid.fit(docs, path, fold() != 0)
-    return _kept(docs, langid.predict(docs, path, model), (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE))
+    return _judged(docs, lambda d: langid.predict(d, path, model), (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +65,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are linked, directly or over others, the one with the smallest doc_id stays."""
     found = jaccard.near_components(docs, k=5, num=80)
-    return _kept(docs, found, F.col("component_id") == F.col("doc_id"))
+    later = found.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
