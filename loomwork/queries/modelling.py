@@ -10,6 +10,7 @@ from loomwork.operators import evaluate as E
 from loomwork.operators import features as X
 from loomwork.operators import forecast as FC
 from loomwork.operators import models as M
+from loomwork.operators import online as O
 from loomwork.operators import quality as Q
 from loomwork.operators import recommend as R
 from loomwork.plans import pipelines as P
@@ -132,6 +133,19 @@ def _text_model(v: Views) -> DataFrame:
 add("model_linear_text", _text_model)
 
 
+def _online_text(v: Views) -> DataFrame:
+    """TF-IDF rows of all labelled texts, weights learned from the training rows by passive-aggressive updates; scores of the test rows."""
+    news = v.news.where("text is not null").select("id", "text", F.col("label").cast("double").alias("label"))
+    parts = X.split(news, "id", {"train": 80, "test": 20})
+    rows = X.tfidf(parts, "id", "text", 0.7)  # document frequencies don't look at labels
+    train = parts.where("part = 'train'")
+    model = O.fit_passive_aggressive(rows.join(train.select("id"), "id", "left_semi"), train, epochs=10)
+    return rounded(E.binary_scores(model.transform(rows, parts.where("part = 'test'").select("id", "label")), "label", "prediction"), 3)
+
+
+add("model_passive_aggressive", _online_text)
+
+
 def _grid(v: Views) -> DataFrame:
     train, _ = _cars(v)
     model = M.grid_cv(M.estimator("tree", seed=1), {"maxDepth": [2, 5]}, train, 3, "mse")

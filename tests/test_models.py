@@ -13,6 +13,7 @@ from loomwork.operators import cleaning as C
 from loomwork.operators import evaluate as E
 from loomwork.operators import features as X
 from loomwork.operators import models as M
+from loomwork.operators import online as M_O
 
 
 def points(spark, rows, label=True):
@@ -134,6 +135,47 @@ def test_linear_text_classifier_on_held_out_rows(spark):
     assert said(model, df.where("id >= 60")) == {i: y for i, _, y in rows if i >= 60}
 
 
+def brute_passive_aggressive(order, docs, y, c, epochs):
+    w, bias = {}, 0.0
+    for e in range(epochs):
+        for i in order(e):
+            loss = 1 - y[i] * (sum(w.get(t, 0.0) * v for t, v in docs[i].items()) + bias)
+            if loss > 0:
+                step = y[i] * min(c, loss / (sum(v * v for v in docs[i].values()) + 1))
+                w |= {t: w.get(t, 0.0) + step * v for t, v in docs[i].items()}
+                bias += step
+    return w, bias
+
+
+def test_passive_aggressive_equals_one_row_at_a_time(spark):
+    import pandas as pd
+    import random
+
+    rng = random.Random(4)
+    docs = {i: {f"t{rng.randint(0, 15)}": rng.choice([0.5, 1.0, 2.0]) for _ in range(rng.randint(0, 6))} for i in range(60)}
+    y = {i: 1.0 if sum(v for t, v in d.items() if t < "t2") > 1 else -1.0 for i, d in docs.items()}
+    rows = spark.createDataFrame([(i, t, v) for i, d in docs.items() for t, v in d.items()] + [(0, None, 1.0), (999, "t1", 1.0)], "id long, token string, weight double")
+    labels = spark.createDataFrame([(i, "yes" if s > 0 else "no") for i, s in y.items()] + [(999, None)], "id long, label string")
+    hashes = {r.id: r.h for r in labels.select("id", F.xxhash64("id").alias("h")).collect()}
+    order = lambda e: sorted(docs, key=lambda i: int(pd.util.hash_array(np.array([hashes[i] ^ (42 * 1_000_003 + e)], np.int64))[0]))
+    model = M_O.fit_passive_aggressive(rows, labels, c=0.7, epochs=3, still=-1e9)
+    w, bias = brute_passive_aggressive(order, docs, y, 0.7, 3)
+    assert model.bias == pytest.approx(bias) and {t: x for t, x in model.weights.items() if abs(x) > 1e-12} == pytest.approx({t: x for t, x in w.items() if abs(x) > 1e-12})
+    got = {r.id: (r.margin, r.prediction) for r in model.transform(rows, labels).collect()}
+    assert all(got[i][0] == pytest.approx(sum(w.get(t, 0.0) * v for t, v in d.items()) + bias) and got[i][1] == ("yes" if got[i][0] > 0 else "no") for i, d in docs.items())
+
+
+def test_passive_aggressive_mixes_tasks(spark):
+    rows = [(i, t, 1.0) for i in range(300) for t in ((f"good{i % 3}", f"x{i}") if i % 2 else (f"bad{i % 3}", f"x{i}"))]
+    df = spark.createDataFrame(rows, "id long, token string, weight double")
+    labels = spark.range(300).select("id", (F.col("id") % 2).cast("int").alias("label"))
+    model = M_O.fit_passive_aggressive(df.where("id < 200"), labels.where("id < 200"), task_docs=40)
+    made = model.transform(df, labels.where("id >= 200"))
+    assert made.where("prediction <> label").count() == 0  # tokens seen in training decide
+    with pytest.raises(ValueError):
+        M_O.fit_passive_aggressive(df, labels.withColumn("label", F.lit(1)))
+
+
 # --- tuning, boards, importance
 def test_grid_search_takes_the_depth_that_fits(spark):
     df = points(spark, [(i, i % 32, float((i % 32) // 4)) for i in range(320)])
