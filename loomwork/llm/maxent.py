@@ -13,7 +13,8 @@ gradient rounds use all training documents.  Arrow splits and numbers the words
 equal contexts of a batch are evaluated once.
 
 The rows of the hashed tables and the codes of words outside the head grow with the square root of
-the training tokens (``table_rows``), up to what a task can hold; the head's size is fixed.
+the training tokens (``table_rows``), up to what a task can hold; the head's size is fixed.  The number
+of tasks over which weights are averaged follows from the training tokens, not from the cores.
 
 Null text is empty text: one token, the end.  Texts of any length are scored whole.  Of words with
 equal counts the smaller bytes enter the head.  Repeated rows get equal results; null keys are kept
@@ -48,8 +49,8 @@ GROUPS = 64
 #: Most words in the list that every task gets.
 FREQUENT = 1 << 16
 BLOCKS = 16
-#: Training tokens of a task, where there are more than the cores need; its weights are sent once.
-TASK_TOKENS = 1 << 25
+#: Training tokens of a task for each row of a table: its weights, which are sent once, stay small beside its texts.
+TASK_TOKENS = 128
 
 
 def table_rows(tokens: int) -> int:
@@ -263,7 +264,7 @@ def score(df: DataFrame, training: Column, rounds: int = 1, key: str = "doc_id",
     start = np.zeros(HEAD)
     start[OTHER], start[END] = n - docs - inside, docs
     start[2 : 2 + len(head)] = [c for _, c in head]
-    tasks = max(2 * df.sparkSession.sparkContext.defaultParallelism, n // TASK_TOKENS)
+    tasks = max(1, n // (TASK_TOKENS * codes.rows))  # from the tokens alone: the mean over tasks is part of the result
     model = _train(rows.coalesce(tasks), codes, Model.start(start, codes.rows), text, rounds)
 
     def run(batches):

@@ -233,6 +233,74 @@ def test_model_probabilities_sum_to_one():
     assert abs((10 ** m.log10(every, np.full(maxent.HEAD, 7), np.full(maxent.HEAD, 9))).sum() - 1) < 1e-3
 
 
+def naive_log10(model, codes, words):
+    """log10 probability of each token of a text in the model, one softmax after the other; and the tokens."""
+    code = [codes.known[w][1] if w in codes.known else codes.bucket(w) for w in words] + [maxent.END]
+    token = [codes.known[w][0] if w in codes.known else maxent.OTHER for w in words] + [maxent.END]
+    out, before = [], [maxent.END, maxent.END]
+    for t, c in zip(token, code):
+        two, one = (np.array([x]) for x in before)
+        total = 0.0
+        for k, (branch, bias, outcome) in enumerate(((0, 1, t // maxent.CLASSES), (t // maxent.CLASSES, maxent.CLASSES, t % maxent.CLASSES))):
+            rows = maxent.features(one, two, branch if k == 0 else np.array([branch]), bias, model.rows)
+            z = sum(model.tables[k][r[0]].astype(float) for r in rows)
+            total += z[outcome] - np.log(np.exp(z).sum())
+        out.append(total / np.log(10))
+        before = [before[1], c]
+    return out, token
+
+
+def test_scores_equal_one_token_at_a_time(spark, docs, monkeypatch):
+    caught = []
+    train = maxent._train
+    monkeypatch.setattr(maxent, "_train", lambda df, codes, model, *rest: caught.append((codes, made := train(df, codes, model, *rest))) or made)
+    rows = docs.orderBy("doc_id").limit(60).select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "Never SEEN wörd\twörd never")], "doc_id long, text string"))
+    found = {r.doc_id: r for r in maxent.score(rows, F.col("doc_id") >= 12).collect()}
+    codes, model = caught[0]
+    cut = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    texts = {r.doc_id: cut(r.text) for r in rows.collect()}
+    count = collections.Counter(w for i, ws in texts.items() if i >= 12 for w in ws)
+    trained = sum(i >= 12 for i in texts)
+    n, head = sum(count.values()) + trained, {w for w, (t, _, _) in codes.known.items() if t != maxent.OTHER}
+    rest, kinds = n - trained - sum(count[w] for w in head), len(count) - len(head)
+    for i, ws in texts.items():
+        logs, token = naive_log10(model, codes, ws)
+        want = sum(logs) + sum(np.log10((count[w] + 0.5) / (rest + 0.5 * (kinds + 1))) for w, t in zip(ws, token) if t == maxent.OTHER)
+        base = sum(np.log10((c + 0.5) / (n + 0.5 * (len(count) + 2))) for c in [*(count[w] for w in ws), trained])
+        assert found[i].score == pytest.approx(want, rel=1e-4, abs=1e-3) and found[i].base_score == pytest.approx(base) and found[i].n_tokens == len(ws) + 1
+
+
+def test_a_gradient_step_equals_the_naive_one():
+    rng = np.random.default_rng(3)
+    made = lambda: maxent.Model(rng2.normal(size=(1 + 64, maxent.CLASSES)).astype(np.float32), rng2.normal(size=(maxent.CLASSES + 64, maxent.CLASSES)).astype(np.float32))
+    rng2 = np.random.default_rng(4)
+    fast = made()
+    rng2 = np.random.default_rng(4)
+    slow = made()
+    token, one, two = rng.integers(0, maxent.HEAD, 40), rng.integers(0, 9, 40), rng.integers(0, 9, 40)
+    fast.learn(token, one, two, [np.zeros(len(t), np.float32) for t in fast.tables])
+    for k, table in enumerate(slow.tables):
+        z_of, grad = [], []
+        for t, a, b in zip(token, one, two):
+            branch, outcome = (0, t // maxent.CLASSES) if k == 0 else (t // maxent.CLASSES, t % maxent.CLASSES)
+            rows = [int(r[0]) for r in maxent.features(np.array([a]), np.array([b]), branch if k == 0 else np.array([branch]), 1 if k == 0 else maxent.CLASSES, slow.rows)]
+            z = sum(table[r].astype(float) for r in rows)
+            p = np.exp(z - z.max())
+            p /= p.sum()
+            p[outcome] -= 1
+            z_of.append(rows), grad.append(p)
+        want = table.astype(float).copy()
+        square = np.zeros(len(table))
+        for feature in range(4):  # one feature's rows after the other, as the rates grow
+            total = collections.defaultdict(lambda: np.zeros(maxent.CLASSES))
+            for rows, g in zip(z_of, grad):
+                total[rows[feature]] += g
+            for r, g in total.items():
+                square[r] += (g * g).sum() / maxent.CLASSES
+                want[r] -= g * maxent.RATE / np.sqrt(square[r] + 1)
+        assert np.allclose(fast.tables[k], want, atol=1e-4)
+
+
 @pytest.mark.parametrize("n", [5, 60, 4000])
 def test_row_sums(n):
     rng = np.random.default_rng(n)
