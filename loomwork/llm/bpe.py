@@ -4,7 +4,9 @@ Tier one is a minimal perfect hash over the vocabulary: a pre-token that is itse
 with one probe and one comparison.  Tier two takes the misses: a heap of adjacent pairs over a
 linked list of byte runs, lowest rank first and leftmost on a tie, as rank-file tokenizers merge.
 
-Null text encodes as empty text (no ids).  Texts of any length are encoded whole.
+Null text encodes as empty text (no ids).  Texts of any length are encoded whole.  Repeated rows get equal
+results, null keys are kept, columns of any other name are left out, and an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ sample.  Two texts agree in a sample with a probability equal to the generalised
 of their weights; the share of agreeing samples estimates it.
 
 Null text is empty text.  Empty texts share one fingerprint, of likeness 1 among themselves and
-about 0 to others.  Repeated rows get equal fingerprints.  An empty table gives an empty result.
+about 0 to others.  Texts of any length are taken whole.  Repeated rows get equal fingerprints; rows with
+one key follow each other in the order of their texts, in one range; null keys come first.  Columns of any
+other name are left out.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
