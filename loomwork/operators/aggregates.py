@@ -101,10 +101,10 @@ def _number(c: str) -> Column:
     return F.when(~F.isnan(v), v)
 
 
-def select_ranks(df: DataFrame, ranks: dict[str, list[int]], most: int = BRACKET_ROWS, accuracy: int = ACCURACY) -> dict[tuple[str, int], float]:
+def select_ranks(df: DataFrame, ranks: dict[str, list[int]], most: int = BRACKET_ROWS, accuracy: int = ACCURACY, brackets: dict[tuple[str, int], tuple[float, float]] | None = None) -> dict[tuple[str, int], float]:
     """The values at 0-based ``ranks`` of numeric columns, nulls and NaN left out, exactly: {(column, rank): value}.
 
-    Each rank lies in a bracket of values, at first all.  A pass counts the rows below and within every
+    Each rank lies in a bracket of values, at first all or the one given in ``brackets``.  A pass counts the rows below and within every
     bracket and sketches quantiles just around its rank, which narrow the bracket about ``accuracy`` / 4
     times; if a count shows that a sketch missed, the bracket moves to the side where the rank is.  Brackets
     of at most ``most`` rows end with their values and counts.  No task holds more than a sketch for each
@@ -114,6 +114,7 @@ def select_ranks(df: DataFrame, ranks: dict[str, list[int]], most: int = BRACKET
     inf = float("inf")
     todo = {(c, r): (-inf, inf) for c, rs in ranks.items() for r in rs}
     outer, counted, done = dict(todo), {}, {}
+    todo |= brackets or {}
 
     def inside(c, lo, hi):
         return (x(c) >= lo) & (x(c) <= hi)
@@ -166,12 +167,18 @@ def select_ranks(df: DataFrame, ranks: dict[str, list[int]], most: int = BRACKET
 
 def quantiles_exact(df: DataFrame, cols: list[str], pcts: list[float]) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of each column; None where it has no value."""
-    sizes = df.agg(*[F.count(_number(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    place = {c: [(sizes[f"n{i}"] - 1) * p for p in pcts] for i, c in enumerate(cols) if sizes[f"n{i}"]}
-    found = select_ranks(df, {c: sorted({int(h) for h in hs} | {min(int(h) + 1, sizes[f"n{cols.index(c)}"] - 1) for h in hs}) for c, hs in place.items()})
+    edges = [min(1.0, max(0.0, p + d / ACCURACY)) for p in pcts for d in (-2, 2)]
+    seen = df.agg(*[e for i, c in enumerate(cols) for e in (F.count(_number(c)).alias(f"n{i}"), F.percentile_approx(_number(c), edges, ACCURACY).alias(f"q{i}"))]).first()
+    place, brackets = {}, {}
+    for i, c in enumerate(cols):
+        if n := seen[f"n{i}"]:
+            place[c] = [(n - 1) * p for p in pcts]
+            for j, h in enumerate(place[c]):
+                brackets |= {(c, r): (seen[f"q{i}"][2 * j], seen[f"q{i}"][2 * j + 1]) for r in (int(h), min(int(h) + 1, n - 1))}
+    found = select_ranks(df, {c: sorted({r for k, r in brackets if k == c}) for c in place}, brackets=brackets)
     out: dict[str, list[float | None]] = {c: [None] * len(pcts) for c in cols}
     for c, hs in place.items():
-        last = sizes[f"n{cols.index(c)}"] - 1
+        last = seen[f"n{cols.index(c)}"] - 1
         out[c] = [found[c, int(h)] + (h - int(h)) * (found[c, min(int(h) + 1, last)] - found[c, int(h)]) if h > int(h) else found[c, int(h)] for h in hs]
     return out
 
