@@ -73,13 +73,10 @@ def document_frequencies(ids: DataFrame) -> dict[int, int]:
     def run(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            for raw, width in zip(b.column(0), b.column(1).to_pylist()):
-                own = np.bincount(np.unique(np.frombuffer(raw.as_buffer(), "<u2" if width == 2 else "<u4")))
-                if len(own) > len(total):
-                    own[: len(total)] += total
-                    total = own
-                else:
-                    total[: len(own)] += own
+            each = [np.unique(np.frombuffer(raw.as_buffer(), "<u2" if width == 2 else "<u4")) for raw, width in zip(b.column(0), b.column(1).to_pylist())]
+            own = np.bincount(np.concatenate(each), minlength=len(total)) if each else total[:0]
+            own[: len(total)] += total[: len(own)]
+            total = own if len(own) else total
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "c"])
 
