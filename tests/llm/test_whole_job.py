@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import collections
+
 import numpy as np
 import pytest
 
@@ -31,6 +33,39 @@ def test_pairs_of_drawn_images_equal_brute_force(spark):
     assert imagematch.near_codes(asked.toDF("qd"), known).count() == (np.bitwise_count((q[:, None] ^ d).view(np.uint64)) <= imagematch.NEAR).sum()
 
 
+def test_votes_of_alike_points_equal_brute_force_and_stay_in_their_task(spark, monkeypatch):
+    monkeypatch.setattr(imagematch, "BLOCK", 100)  # several blocks on either side
+    monkeypatch.setattr(imagematch, "GROUP", 40)
+    rng = np.random.default_rng(8)
+    codes = rng.integers(-(1 << 63), 1 << 63, 3, dtype=np.int64)
+
+    def side(n, most):
+        flips = lambda: int(np.bitwise_xor.reduce([rng.choice(codes), *(np.uint64(1) << rng.choice(64, rng.integers(0, 6), replace=False).astype(np.uint64)).view(np.int64)]))
+        return [(k, float(rng.integers(0, 24)), float(rng.integers(0, 24)), int(rng.choice([1, 2])), int(rng.integers(0, 3)), flips()) for k in range(n) for _ in range(rng.integers(1, most))]
+
+    asked, known = side(12, 30), side(25, 30)
+    asked += [(3, *asked[-1][1:]), asked[0], (None, *asked[1][1:])]  # repeated rows and a null key
+    cells = collections.defaultdict(set)
+    for q, qx, qy, qs, qt, qd in asked:
+        for i, x, y, s, t, d in known:
+            if ((qd ^ d) & (1 << 64) - 1).bit_count() <= 7:
+                turn, zoom = (t - qt) % 16, s / qs
+                a = turn * (2 * np.pi / 16)
+                dx, dy = x - zoom * (np.cos(a) * qx - np.sin(a) * qy), y - zoom * (np.sin(a) * qx + np.cos(a) * qy)
+                for k in (0, 1):
+                    cells[q, i, turn, zoom, k, np.floor(dx / 8 + k / 2), np.floor(dy / 8 + k / 2)].add((qx, qy, qs))
+    want = collections.Counter()
+    for (q, i, *_), points in cells.items():
+        want[q, i] = max(want[q, i], len(points))
+    columns = "long, x double, y double, scale int, turn int, d long"
+    a, b = spark.createDataFrame(asked, f"q {columns}").repartition(3), spark.createDataFrame(known, f"i {columns}").repartition(2)
+    for least in (1, 3):
+        found = imagematch.votes(a, b, least=least)
+        assert {(r.q, r.i): r.votes for r in found.collect()} == {k: n for k, n in want.items() if n >= least}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "Aggregate" not in plan  # no pair of points is a row that is shuffled
+
+
 def test_small_crop_of_a_large_picture(spark):
     rng = np.random.default_rng(6)
     a = 128 + rng.integers(-100, 100, (150, 150)) * np.linspace(1, 0.3, 150)
