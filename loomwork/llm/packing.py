@@ -71,9 +71,18 @@ def document_frequencies(ids: DataFrame) -> dict[int, int]:
     """How many of all documents hold each id; the vocabulary bounds what reaches the driver."""
 
     def run(batches):
-        total = np.zeros(0, np.int64)
+        total, last = np.zeros(0, np.int64), np.zeros(1 << 16, np.int32)
+
+        def distinct(own: np.ndarray) -> np.ndarray:
+            nonlocal last
+            if (most := own.max(initial=0)) >= len(last):
+                last = np.zeros(2 * int(most), np.int32)
+            place = np.arange(len(own), dtype=np.int32)
+            last[own] = place  # one place of each id stays
+            return own[last[own] == place]
+
         for b in batches:
-            each = [np.unique(np.frombuffer(raw.as_buffer(), "<u2" if width == 2 else "<u4")) for raw, width in zip(b.column(0), b.column(1).to_pylist())]
+            each = [distinct(np.frombuffer(raw.as_buffer(), "<u2" if width == 2 else "<u4")) for raw, width in zip(b.column(0), b.column(1).to_pylist())]
             own = np.bincount(np.concatenate(each), minlength=len(total)) if each else total[:0]
             own[: len(total)] += total[: len(own)]
             total = own if len(own) else total
