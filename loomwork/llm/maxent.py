@@ -25,6 +25,7 @@ an empty table gives an empty result.  Extra columns, whatever their names, are
 from __future__ import annotations
 
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import written
-from loomwork.llm.tokens import slices
+from loomwork.llm.tokens import slices, strings
 
 #: Outcomes of either softmax; the head holds CLASSES * CLASSES tokens: outside, end, then words.
 CLASSES = 32
@@ -86,9 +87,9 @@ class Codes:
     def __init__(self, head: list[str], frequent: dict[str, int], rows: int):
         self.rows, self.buckets = rows, rows // 4
         self.width = HEAD + self.buckets  # codes of contexts
-        self.known = {w: (OTHER, self.bucket(w), c) for w, c in frequent.items()}
-        for i, w in enumerate(head, 2):
-            self.known[w] = (i, i, frequent[w])
+        found = {w: (OTHER, self.bucket(w), c) for w, c in frequent.items()} | {w: (i, i, frequent[w]) for i, w in enumerate(head, 2)}
+        self.known = dict(zip(found, range(len(found))))  # word → row of the table
+        self.table = np.array(list(found.values()), np.int64).reshape(-1, 3)
 
     def bucket(self, w: str) -> int:
         return HEAD + zlib.crc32(w.encode("utf-8", "surrogatepass")) % self.buckets
@@ -96,8 +97,14 @@ class Codes:
     def arrays(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.DictionaryArray, np.ndarray]:
         """Tokens, context codes and counts of all texts with an end after each, the places of the ends, the words, and the unknown ones among these."""
         coded, size = words(texts)
-        get, names = self.known.get, coded.dictionary.to_pylist()
-        found = np.array([get(w) or (OTHER, self.bucket(w), -1) for w in names], np.int64).reshape(-1, 3)
+        names = strings(coded.dictionary)
+        at = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(at < 0)
+        found = np.empty((len(names), 3), np.int64)
+        found[:] = OTHER, 0, -1
+        found[at >= 0] = self.table[at[at >= 0]]
+        raw = coded.dictionary.take(pa.array(new)).cast(pa.binary())
+        found[new, 1] = HEAD + np.fromiter(map(zlib.crc32, raw.to_numpy(zero_copy_only=False)), np.int64, len(new)) % self.buckets
         own = found[coded.indices.to_numpy()]
         ends = np.cumsum(size + 1) - 1
         all_ = np.empty((len(own) + len(size), 3), np.int64)

@@ -120,3 +120,22 @@ def test_chunks_are_remembered_over_a_task_of_rare_words(monkeypatch):
     again, again_size = e.encode(rare(0))
     assert not learned and (first == again).all() and (size == again_size).all()
     assert first.tolist() == [i for t in rare(0).to_pylist() for i in e.library.encode(t, add_special_tokens=False).ids]
+
+
+def test_word_codes_of_a_batch_equal_the_definition():
+    import zlib
+
+    import pyarrow as pa
+
+    texts = ["The cat", None, "", " \u00e9t\u00e9 xy the  THE\n", "zebra cat \U0001f600"]
+    codes = maxent.Codes(["the"], {"the": 5, "cat": 2}, 1 << 14)
+    token, code, count, ends, coded, unknown = codes.arrays(pa.array(texts))
+    want = []
+    for t in texts:
+        for w in (t or "").lower().split():
+            want.append({"the": (2, 2, 5), "cat": (maxent.OTHER, codes.bucket("cat"), 2)}.get(w, (maxent.OTHER, codes.bucket(w), -1)))
+        want.append((maxent.END, maxent.END, 0))
+    assert list(zip(token.tolist(), code.tolist(), count.tolist())) == want
+    assert ends.tolist() == [i for i, x in enumerate(want) if x[0] == maxent.END]
+    assert unknown.tolist() == [x[2] < 0 for x in want if x[0] != maxent.END]
+    assert codes.bucket("\u00e9t\u00e9") == maxent.HEAD + zlib.crc32("\u00e9t\u00e9".encode()) % codes.buckets
