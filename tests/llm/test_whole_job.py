@@ -139,3 +139,46 @@ def test_word_codes_of_a_batch_equal_the_definition():
     assert ends.tolist() == [i for i, x in enumerate(want) if x[0] == maxent.END]
     assert unknown.tolist() == [x[2] < 0 for x in want if x[0] != maxent.END]
     assert codes.bucket("\u00e9t\u00e9") == maxent.HEAD + zlib.crc32("\u00e9t\u00e9".encode()) % codes.buckets
+
+
+def test_common_points_are_met_only_where_the_others_agree(spark, monkeypatch):
+    monkeypatch.setattr(imagematch, "BLOCK", 300)
+    monkeypatch.setattr(imagematch, "GROUP", 60)
+    rng = np.random.default_rng(9)
+    common, rare = rng.integers(-(1 << 63), 1 << 63, 3, dtype=np.int64), rng.integers(-(1 << 63), 1 << 63, 400, dtype=np.int64)
+
+    def image(k, own):
+        codes = [*common, *common, *rare[own]]
+        return [(k, float(13 * n % 60), float(29 * n % 70), 1, n % 3, int(d)) for n, d in enumerate(codes)]
+
+    known = [r for k in range(60) for r in image(k, slice(6 * k, 6 * k + 6))]
+    asked = [r for k in range(0, 60, 7) for r in image(k, slice(6 * k, 6 * k + 6))]
+    asked += image(100, slice(0, 0)) + image(101, slice(390, 394))  # common points alone reach 6 votes with all images
+    asked += [r for r in image(102, slice(12, 18)) if r[5] not in set(common.tolist())] + image(103, slice(24, 26))[:5]
+    want, alike = {}, 0
+    points = lambda rows: {k: [r[1:] for r in rows if r[0] == k] for k in {r[0] for r in rows}}
+    for q, own in points(asked).items():
+        for i, others in points(known).items():
+            cells = collections.defaultdict(set)
+            for qx, qy, qs, qt, qd in own:
+                for x, y, s, t, d in others:
+                    if ((qd ^ d) & (1 << 64) - 1).bit_count() <= 7:
+                        alike += 1
+                        turn = (t - qt) % 16
+                        a = turn * (2 * np.pi / 16)
+                        dx, dy = x - (np.cos(a) * qx - np.sin(a) * qy), y - (np.sin(a) * qx + np.cos(a) * qy)
+                        for k in (0, 1):
+                            cells[turn, k, np.floor(dx / 8 + k / 2), np.floor(dy / 8 + k / 2)].add((qx, qy, qs))
+            want[q, i] = max(map(len, cells.values()), default=0)
+    columns = "long, x double, y double, scale int, turn int, d long"
+    a, b = spark.createDataFrame(asked, f"q {columns}").coalesce(1), spark.createDataFrame(known, f"i {columns}").coalesce(1)
+    for least in (1, 4, 6, 7, 12):
+        assert {(r.q, r.i): r.votes for r in imagematch.votes(a, b, least=least).collect()} == {k: n for k, n in want.items() if n >= least}
+
+    met, crossed, near = [], [], imagematch.Tables.near
+    monkeypatch.setattr(imagematch, "_crossed", lambda queries, images, pairs, *rest: crossed.append(pairs))
+    monkeypatch.setattr(imagematch.Tables, "near", lambda self, q, n: (met.append(len(x)) or (x, y) for x, y in near(self, q, n)))
+    imagematch.votes(a, b, least=7)
+    block = lambda rows: (np.array([*collections.Counter(r[0] for r in rows).values()]), np.stack([np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), *(np.array([r[c] for r in rows], np.int64).view(np.float64) for c in (3, 4, 5))]))
+    got = sum(len(i) for i, _, _ in crossed[0](block(sorted(asked)), block(sorted(known))))
+    assert got == sum(n >= 7 for n in want.values()) and sum(met) < alike / 2
