@@ -45,6 +45,10 @@ OTHER, END = 0, 1
 LEAST_ROWS, MOST_ROWS = 1 << 14, 1 << 18
 #: Tokens of a gradient step, and its rate in the first round.
 STEP, RATE = 8192, 0.3
+#: Tokens scored at a time: their logits stay in the processor's cache.
+SCORED = 1 << 15
+#: Logits below this in size are neither too large nor too small for sums of their exponentials in single precision.
+SAFE = 80
 #: Groups of tasks whose weights are summed before the last sum.
 GROUPS = 64
 #: Most words in the list that every task gets.
@@ -87,9 +91,9 @@ class Codes:
     def __init__(self, head: list[str], frequent: dict[str, int], rows: int):
         self.rows, self.buckets = rows, rows // 4
         self.width = HEAD + self.buckets  # codes of contexts
-        found = {w: (OTHER, self.bucket(w), c) for w, c in frequent.items()} | {w: (i, i, frequent[w]) for i, w in enumerate(head, 2)}
-        self.known = dict(zip(found, range(len(found))))  # word → row of the table
-        self.table = np.array(list(found.values()), np.int64).reshape(-1, 3)
+        self.known = {w: (OTHER, self.bucket(w), c) for w, c in frequent.items()} | {w: (i, i, frequent[w]) for i, w in enumerate(head, 2)}
+        self.places = dict(zip(self.known, range(len(self.known))))  # word → row of the table
+        self.table = np.array(list(self.known.values()), np.int64).reshape(-1, 3)
 
     def bucket(self, w: str) -> int:
         return HEAD + zlib.crc32(w.encode("utf-8", "surrogatepass")) % self.buckets
@@ -98,7 +102,7 @@ class Codes:
         """Tokens, context codes and counts of all texts with an end after each, the places of the ends, the words, and the unknown ones among these."""
         coded, size = words(texts)
         names = strings(coded.dictionary)
-        at = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        at = np.fromiter(map(self.places.get, names, repeat(-1)), np.int64, len(names))
         new = np.flatnonzero(at < 0)
         found = np.empty((len(names), 3), np.int64)
         found[:] = OTHER, 0, -1
@@ -133,15 +137,16 @@ def features(one: np.ndarray, two: np.ndarray, branch: np.ndarray | int, bias: i
 
 def row_sums(p: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the rows of ``p`` with equal ``r``, and these numbers in order."""
-    order = np.argsort(r, kind="stable")
-    sorted_ = r[order]
-    opens = np.diff(sorted_, prepend=-1) != 0
-    first = np.flatnonzero(opens)
+    packed = np.sort(r.astype(np.int64) << 32 | np.arange(len(r)))  # much quicker than a stable argsort
+    order, sorted_ = packed & 0xFFFFFFFF, packed >> 32
+    first = np.flatnonzero(np.diff(sorted_, prepend=-1))
     if 2 * len(first) < len(r):
-        return np.add.reduceat(p[order], first, axis=0), sorted_[first]
-    g = p[order[first]]  # most numbers occur once: only the others are added
-    if len(first) < len(r):
-        np.add.at(g, (np.cumsum(opens) - 1)[~opens], p[order[~opens]])
+        return np.add.reduceat(p.take(order, axis=0), first, axis=0), sorted_[first]
+    g = p.take(order[first], axis=0)  # most numbers occur once: only the others are added
+    size = np.diff(first, append=len(r))
+    if (many := np.flatnonzero(size > 1)).size:
+        ends = np.cumsum(size[many])
+        g[many] = np.add.reduceat(p.take(order[np.repeat(size > 1, size)], axis=0), ends - size[many], axis=0)
     return g, sorted_[first]
 
 
@@ -171,18 +176,23 @@ class Model:
             yield k, features(a, b, 0 if branch is None else distinct >> 48, 1 if branch is None else CLASSES, self.rows), at, outcome
 
     def logits(self, k: int, rows: np.ndarray) -> np.ndarray:
-        z = self.tables[k][rows[0]]
+        w = self.tables[k]
+        z = w.take(rows[0], axis=0)
+        other = np.empty_like(z)
         for r in rows[1:]:
-            z += self.tables[k][r]
-        z -= z.max(axis=1, keepdims=True)
+            z += w.take(r, axis=0, out=other, mode="clip")  # the mode that writes straight to ``out``
+        if z.size and not -SAFE < z.min() <= z.max() < SAFE:
+            z -= z.max(axis=1, keepdims=True)
         return z
 
     def log10(self, token: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         total = np.zeros(len(token))
-        for k, rows, at, outcome in self.steps(token, one, two):
-            z = self.logits(k, rows)
-            z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-            total += z[at, outcome]
+        for a in range(0, len(token), SCORED):
+            part = slice(a, a + SCORED)
+            for k, rows, at, outcome in self.steps(token[part], one[part], two[part]):
+                z = self.logits(k, rows)
+                own = z[at, outcome]
+                total[part] += own - np.log(np.einsum("ij->i", np.exp(z, out=z)))[at]
         return total / np.log(10)
 
     def learn(self, token: np.ndarray, one: np.ndarray, two: np.ndarray, square: list[np.ndarray], rate: float = RATE, batch: int = STEP) -> None:
@@ -191,17 +201,15 @@ class Model:
             for k, rows, at, outcome in self.steps(token[a : a + batch], one[a : a + batch], two[a : a + batch]):
                 w, z = self.tables[k], self.logits(k, rows)
                 np.exp(z, out=z)
-                n = len(z)
-                z *= (np.bincount(at, minlength=n) / z.sum(axis=1)).astype(np.float32)[:, None]  # expected, less observed
-                z -= np.bincount(at * CLASSES + outcome, minlength=n * CLASSES).astype(np.float32).reshape(n, CLASSES)
-                for i, r in enumerate(rows):
-                    p = z
-                    if i < 2:  # equal rows stand together: contexts are sorted by branch and word before
-                        first = np.flatnonzero(np.diff(r, prepend=-1))
-                        p, r = np.add.reduceat(p, first, axis=0), r[first]
+                z *= (np.bincount(at, minlength=len(z)) / np.einsum("ij->i", z)).astype(np.float32)[:, None]  # expected, less observed
+                np.subtract.at(z.ravel(), at * CLASSES + outcome, np.float32(1))
+                first = np.flatnonzero(np.diff(rows[0], prepend=-1) | np.diff(rows[1], prepend=-1))  # contexts are sorted by branch and word before
+                p = np.add.reduceat(z, first, axis=0)
+                for p, r in ((p, rows[0][first]), (p, rows[1][first]), (z, rows[2]), (z, rows[3])):
                     g, own = row_sums(p, r)
                     square[k][own] += np.einsum("ij,ij->i", g, g) / CLASSES
-                    w[own] -= g * (rate / np.sqrt(square[k][own] + 1.0))[:, None]
+                    g *= (rate / np.sqrt(square[k][own] + 1.0))[:, None]
+                    w[own] = np.subtract(w.take(own, axis=0), g, out=g)
 
 
 def _train(df: DataFrame, codes: Codes, model: Model, text: str, rounds: int) -> Model:
@@ -289,7 +297,7 @@ def score(df: DataFrame, training: Column, rounds: int = 1, key: str = "doc_id",
                 outside = np.add.reduceat(np.where(token == OTHER, logs, 0.0), first)
                 others = np.add.reduceat((token == OTHER).astype(np.int64), first)
                 sure = np.add.reduceat((known & (count > 0)).astype(np.int64), first)
-                lm = np.add.reduceat(np.concatenate([model.log10(token[a : a + (1 << 17)], one[a : a + (1 << 17)], two[a : a + (1 << 17)]) for a in range(0, len(token), 1 << 17)]), first)
+                lm = np.add.reduceat(model.log10(token, one, two), first)
                 row = np.arange(serial, serial + j - i)
                 serial += j - i
                 none = pa.nulls(j - i, pa.string())

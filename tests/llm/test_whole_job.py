@@ -182,3 +182,25 @@ def test_common_points_are_met_only_where_the_others_agree(spark, monkeypatch):
     block = lambda rows: (np.array([*collections.Counter(r[0] for r in rows).values()]), np.stack([np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), *(np.array([r[c] for r in rows], np.int64).view(np.float64) for c in (3, 4, 5))]))
     got = sum(len(i) for i, _, _ in crossed[0](block(sorted(asked)), block(sorted(known))))
     assert got == sum(n >= 7 for n in want.values()) and sum(met) < alike / 2
+
+
+def test_scores_of_small_blocks_hold_for_any_weights(monkeypatch):
+    """Blocks of tokens are small, sums of repeated rows are whole, and very large or small logits neither overflow nor vanish."""
+    rng = np.random.default_rng(4)
+    for size in (1, 30, 60, 400):
+        m = maxent.Model(*(rng.normal(size=(b + 64, maxent.CLASSES), scale=size).astype(np.float32) for b in (1, maxent.CLASSES)))
+        token, one, two = rng.integers(0, maxent.HEAD, 200), rng.integers(0, 9, 200), rng.integers(0, 9, 200)
+        want = np.zeros(200)
+        for k, rows, at, outcome in m.steps(token, one, two):
+            z = m.tables[k].astype(np.float64)[rows].sum(axis=0)
+            z -= z.max(axis=1, keepdims=True)
+            want += (z - np.log(np.exp(z).sum(axis=1, keepdims=True)))[at, outcome] / np.log(10)
+        assert np.allclose(m.log10(token, one, two), want, rtol=1e-5, atol=1e-4)
+    for values in (5, 3000, 1):  # many, few and all numbers repeat
+        r, p = rng.integers(0, values, 2000), rng.normal(size=(2000, maxent.CLASSES)).astype(np.float32)
+        g, own = maxent.row_sums(p, r)
+        assert own.tolist() == sorted(set(r.tolist())) and np.allclose(g, [p[r == x].sum(axis=0) for x in own], atol=1e-3)
+    sizes, logits = [], maxent.Model.logits
+    monkeypatch.setattr(maxent.Model, "logits", lambda self, k, rows: sizes.append(rows.shape[1]) or logits(self, k, rows))
+    n = 100_000
+    assert len(m.log10(rng.integers(0, maxent.HEAD, n), rng.integers(0, 900, n), rng.integers(0, 900, n))) == n and max(sizes) <= 1 << 15
