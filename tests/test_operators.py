@@ -426,3 +426,20 @@ def test_streams_take_files_in_order(spark, tmp_path):
     key = lambda d: {(r.k, r.ts): r.ewma for r in d.collect()}
     assert key(got) == pytest.approx(key(want)) and got.count() == len(rows)
     assert len(list((tmp_path / "state" / "commits").glob("[0-9]*"))) >= 9  # a file a micro-batch
+
+
+def test_streams_take_no_more_batches_and_state_than_rows_need(spark, tmp_path):
+    from loomwork.streaming import running
+    from loomwork.streaming.arrivals import drained, write_in_order
+
+    df = frame(spark, "k string, ts timestamp, x double", *[("ab"[i % 2], dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i), float(i % 7)) for i in range(100)])
+    base, key = str(tmp_path), "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "50")
+    try:
+        assert write_in_order(df, "ts", f"{base}/in", 60) <= 4  # two parts, each cut at most once
+        got = drained(spark, f"{base}/in", df.schema, lambda s: running.chunk_alert(s, "k", "ts", "x", "x", 10), base)
+        assert got.count() == 10 and spark.conf.get(key) == "50"
+    finally:
+        spark.conf.set(key, before)
+    assert len(list((tmp_path / "state" / "state" / "0").glob("[0-9]*"))) <= spark.sparkContext.defaultParallelism
