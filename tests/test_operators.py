@@ -443,3 +443,18 @@ def test_streams_take_no_more_batches_and_state_than_rows_need(spark, tmp_path):
     finally:
         spark.conf.set(key, before)
     assert len(list((tmp_path / "state" / "state" / "0").glob("[0-9]*"))) <= spark.sparkContext.defaultParallelism
+
+
+def test_running_average_query_takes_one_batch_under_many_partitions(spark):
+    from loomwork import catalog
+
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "40")
+    try:
+        made = catalog.QUERIES["stream_running_average"](spark, "/root/testdata/sf0.001")
+        files = made.select(F.input_file_name().alias("f")).distinct().count()
+        assert made.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    finally:
+        spark.conf.set(key, before)
+    assert files <= spark.sparkContext.defaultParallelism  # a file a state partition, of one micro-batch
