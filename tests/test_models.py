@@ -176,6 +176,26 @@ def test_passive_aggressive_mixes_tasks(spark):
         M_O.fit_passive_aggressive(df, labels.withColumn("label", F.lit(1)))
 
 
+def test_passive_aggressive_holds_few_bytes_a_token(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def batches():
+        for k in range(10):
+            x = [None if i == 3 else [{"t": f"t{(i * j + k) % 5000}", "v": float(j)} for j in range(100)] for i in range(200)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array([1.0] * 200), pa.array(x, pa.list_(pa.struct([("t", pa.string()), ("v", pa.float64())])))], ["h", "y", "x"])
+
+    ready = list(batches())
+    tracemalloc.start()
+    names, h, y, size, at, v = M_O._numbered(iter(ready))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(h) == len(y) == 2000 and size.sum() == len(at) == len(v) == 199_000 and size[3] == 0
+    assert peak < 40 * len(at)  # rows of dicts took hundreds
+    assert [names[n] for n in at[size[0] : size[0] + 3]] == ["t0", "t1", "t2"] and M_O._numbered(iter(())) is None
+
+
 # --- tuning, boards, importance
 def test_grid_search_takes_the_depth_that_fits(spark):
     df = points(spark, [(i, i % 32, float((i % 32) // 4)) for i in range(320)])
