@@ -190,6 +190,26 @@ def test_similar_rows_equal_brute_force(spark, least):
     assert J.similar_rows(df.limit(0), "r", "f", "v").count() == 0
 
 
+@pytest.mark.parametrize("least", [0.0, 0.4])
+def test_similar_rows_shuffle_no_pairs(spark, least):
+    """Rows that share every feature, and rows that share few: pairs come once, and no plan node after the lists groups or joins them."""
+    rng = random.Random(5)
+    rows = [(r, f, rng.choice([1.0, 2.0, 5.0])) for r in range(150) for f in ({1, 2, 3} | {rng.randint(10, 90) for _ in range(3)})]
+    df = frame(spark, "r int, f int, v double", *rows)
+    vec = collections.defaultdict(dict)
+    for r, f, v in rows:
+        vec[r][f] = v
+    dot = lambda a, b: sum(x * b.get(f, 0) for f, x in a.items()) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+    want = {(a, b): c for a in vec for b in vec if a < b and (c := dot(vec[a], vec[b])) > 1e-12 and c >= least - 1e-12}
+    found = J.similar_rows(df, "r", "f", "v", least, 20, 40)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    got = found.collect()
+    assert len(got) == len(want) and {(r.a, r.b): r.cosine for r in got} == pytest.approx(want)
+    wide = J.similar_rows(df, "r", "f", "v", least, 20, 40, narrow=5).collect()  # all rows are named only
+    assert len(wide) == len(want) and {(r.a, r.b): r.cosine for r in wide} == pytest.approx(want)
+    assert "HashAggregate" not in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+
+
 def test_quantiles_equal_sorting(spark):
     rng = random.Random(8)
     rows = [(rng.choice([0.0, 1.0, 1.0, rng.gauss(0, 1e6), 10 ** rng.uniform(-300, 300)]), float(i % 2), None) for i in range(4000)] + [(None, None, None), (float("inf"), 5.0, None), (float("nan"), None, None)]
