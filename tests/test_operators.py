@@ -210,6 +210,25 @@ def test_similar_rows_shuffle_no_pairs(spark, least):
     assert "HashAggregate" not in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
 
 
+def test_pairs_of_lists_cut_anywhere(spark):
+    """Lists that go on in later batches, and chunks of several lists, give the pairs of the lists as wholes."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    vec = {r: dict(sorted((f, 1.0) for f in rng.sample(range(12), 4))) for r in range(60)}
+    unit = {r: {f: x / 2 for f, x in own.items()} for r, own in vec.items()}
+    rows = sorted((f, r, p, list(own), list(own.values())) for r, own in unit.items() for p, f in enumerate(own))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 7])], ["f", "r", "p", "fs", "xs"]) for i in range(0, len(rows), 7)]
+    want = {(a, b): c for a in unit for b in unit if a < b and (c := sum(x * unit[b].get(f, 0) for f, x in unit[a].items())) >= 0.5}
+    before = J.LIST_ROWS, J.ENTRIES
+    J.LIST_ROWS, J.ENTRIES = 25, 40
+    try:
+        got = [tuple(r.values()) for b in J._paired(0.5)(iter(batches)) for r in b.to_pylist()]
+    finally:
+        J.LIST_ROWS, J.ENTRIES = before
+    assert len(got) == len(want) and {(a, b): c for a, b, c in got} == pytest.approx(want)
+
+
 def test_quantiles_equal_sorting(spark):
     rng = random.Random(8)
     rows = [(rng.choice([0.0, 1.0, 1.0, rng.gauss(0, 1e6), 10 ** rng.uniform(-300, 300)]), float(i % 2), None) for i in range(4000)] + [(None, None, None), (float("inf"), 5.0, None), (float("nan"), None, None)]
