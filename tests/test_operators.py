@@ -156,6 +156,15 @@ def test_knn_prunes_far_pivots(spark):
     assert sorted(values(plan, "neighbour")) == [15, 25, 35]
 
 
+def test_knn_copies_base_rows_only_for_queries_that_visit_them(spark, monkeypatch):
+    df = frame(spark, "id long, v array<double>", *[(i, [1000.0 * (i % 10), float(i)]) for i in range(200)])
+    kind, rows = type(df.groupBy("id")), []
+    cogroup = kind.cogroup
+    monkeypatch.setattr(kind, "cogroup", lambda self, other: rows.append(other._df.count()) or cogroup(self, other))
+    got = J.knn(df.where("id % 10 = 5"), df, "id", "v", 3, pivots=40, query_rows=5)
+    assert got.count() == 60 and rows[0] <= 20 * 4  # 20 rows near the 20 queries, in 4 blocks of them at most
+
+
 def test_knn_votes_and_means(spark):
     base = frame(spark, "id long, v array<double>, y double, c string", (1, [0.0], 0.0, "q"), (2, [1.0], 10.0, "a"), (3, [3.0], 20.0, "b"), (4, [3.0], 30.0, "b"), (5, [100.0], 7.0, None), (6, [100.0], 9.0, "z"), (7, [101.0], None, "y"))
     near = J.knn(base.where("id in (1, 5)"), base, "id", "v", 3)
@@ -452,6 +461,15 @@ def test_files(spark, tmp_path):
     assert T.calendar(spark, dt.date(1997, 1, 1), dt.date(1998, 12, 31)).count() == 730
 
 
+def test_complaints_are_joined_once(spark, monkeypatch):
+    from loomwork import catalog
+
+    plans, made = [], P.complaints_pipeline
+    monkeypatch.setattr(P, "complaints_pipeline", lambda train, test: plans.extend(d._jdf.queryExecution().executedPlan().toString() for d in (train, test)) or made(train, test))
+    assert catalog.QUERIES["pipe_complaints"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(plans) == 2 and not any("Join" in x or "Exchange" in x for x in plans)
+
+
 def test_streams_take_files_in_order(spark, tmp_path):
     from loomwork.streaming import running
     from loomwork.streaming.arrivals import drained, write_in_order
